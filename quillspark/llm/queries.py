@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import lookalike, mixing, spam, survivors, tokens
+from quillspark.llm import lookalike, matching, mixing, spam, survivors, tokens, variants
 from quillspark.session import table
 
 QUERIES, SQL = {}, {}
@@ -95,3 +95,37 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 def p10_reasons(spark: SparkSession, root: str) -> DataFrame:
     """Spam documents per language and reason."""
     return spam.find_spam(table(spark, root, "documents")).groupBy("language", "reason").agg(F.count("*").alias("documents"))
+
+
+def _variants(spark: SparkSession, root: str) -> DataFrame:
+    works = table(spark, root, "works").select("work_key", "polity", "year_start", "year_end").dropDuplicates(["work_key"])
+    named = table(spark, root, "work_people").dropDuplicates(["mention_no"]).join(works, "work_key", "left")
+    mentions = named.select("mention_no", F.col("display_name").alias("text"), "polity", F.coalesce("year_start", "year_end").alias("year"))
+    people = table(spark, root, "people").where("source = 'fanya_supplementary'")
+    persons = people.select("person_no", F.coalesce("name_han", "label").alias("name"), F.col("aliases").alias("other_names"), "polity", "year_start", "year_end")
+    return variants.link_mentions(mentions, persons)
+
+
+@query
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    names = table(spark, root, "people").where("source = 'fanya_supplementary'").select("person_no", "name_han").dropDuplicates(["person_no"])
+    shown = table(spark, root, "work_people").select("mention_no", "display_name").dropDuplicates(["mention_no"])
+    linked = _variants(spark, root).join(shown, "mention_no").join(names, "person_no")
+    return linked.where("not (display_name <=> name_han)").select("mention_no", "person_no")
+
+
+@query
+def p6_links(spark: SparkSession, root: str) -> DataFrame:
+    """Every linked mention, those typed exactly too, with agreement and round."""
+    return _variants(spark, root)
+
+
+@query
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return matching.match_sources(table(spark, root, "people")).select("person_no_a", "person_no_b")
+
+
+@query
+def p1_matches(spark: SparkSession, root: str) -> DataFrame:
+    """The matched pairs with cosine, strength of evidence and calibrated confidence."""
+    return matching.match_sources(table(spark, root, "people"))

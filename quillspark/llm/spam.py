@@ -153,7 +153,7 @@ def find_spam(documents: DataFrame, id_column: str = "doc_id", text_column: str
     tags = "tags >= 5 and tag >= 0.4"
     products = "pieces >= 6 and (marks >= 3 and marks >= 0.15 * pieces or counted >= 4 and counted >= 0.4 * pieces) and function < 0.12"
     stuffed = "pieces >= 6 and (phrase >= least_phrase or gram >= least_gram or pair >= least_pair and language <> 'latin')"
-    words = "words >= 12 and word >= least_word and distinct <= 0.4 and function < 0.05"
+    words = "words >= 12 and word >= least_word and distinct <= 0.62 and function < 0.05"
     mixed = "links >= 2 and link >= 0.15 and phrase >= 0.3 or lines >= 0.6 and pieces >= 12"
     reason = F.expr(f"case when {links} then 'links' when {tags} then 'tags' when {products} then 'products' when {stuffed} then 'keywords' when {words} then 'words' when {mixed} then 'mixed' end")
     return judged.withColumn("reason", reason).where("reason is not null").select(id_column, "language", "reason")
