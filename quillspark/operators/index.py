@@ -12,10 +12,10 @@ _HEADER_LINE = r"#[ \t]*[A-Z][A-Z0-9_ ]{1,80}[ \t]*[:：]"
 
 
 def latest_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key, as one map-side combined aggregate (no sort of a key's rows)."""
-    columns = [F.struct(order, *[c for c in df.columns if c != order]).alias("_row")]
-    top = df.select(*[F.col(k).alias(f"_{k}") for k in keys], *columns).groupBy(*[f"_{k}" for k in keys]).agg(F.max("_row").alias("_row"))
-    return top.select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
+    """The last row of each key. One aggregate per column, so that Catalyst drops those nobody asks for and
+    their columns are not even read; no sort of a key's rows, and combined map-side."""
+    last = [F.max(order).alias(order) if c == order else F.max_by(c, order).alias(c) for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(*last).select(*df.columns)
 
 
 def parse_documents(documents: DataFrame, text_column: str) -> DataFrame:
