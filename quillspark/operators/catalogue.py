@@ -49,7 +49,7 @@ def timeline(works: DataFrame, descending: bool, page: int, per_page: int) -> Da
     year = F.desc_nulls_last("sort_year") if descending else F.asc_nulls_last("sort_year")
     total = works.agg(F.count("*").alias("total"))
     rows = works.orderBy(year, "display_title", "work_key").offset((max(page, 1) - 1) * per_page).limit(per_page)
-    return rows.join(F.broadcast(total))
+    return rows.withColumn("total", total.scalar())
 
 
 def in_interval(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, step: int = 64) -> DataFrame:
@@ -104,7 +104,7 @@ def profile_cosines(counts: DataFrame, most_share: float = 0.1) -> DataFrame:
     cosine itself runs over all items."""
     total = counts.select("profile").distinct().agg(F.count("*").alias("profiles"))
     df = counts.groupBy("item").agg(F.count("*").alias("df"))
-    weighed = counts.join(df, "item").join(F.broadcast(total)).withColumn("w", F.sqrt("n") * F.ln(F.col("profiles") / F.col("df")))
+    weighed = counts.join(df, "item").withColumn("profiles", total.scalar()).withColumn("w", F.sqrt("n") * F.ln(F.col("profiles") / F.col("df")))
     size = weighed.groupBy("profile").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count("*").alias("items"))
     x = weighed.select("item", F.col("profile").alias("a"), F.col("w").alias("wa"), (F.col("df") <= F.greatest(F.lit(2.0), F.col("profiles") * most_share)).alias("links"))
     y = weighed.select("item", F.col("profile").alias("b"), F.col("w").alias("wb"))
@@ -181,5 +181,5 @@ def repaired_ids(rows: DataFrame) -> DataFrame:
     owner = one.where("id is not null").groupBy("id").agg(F.min("entity").alias("owner"))
     marked = one.join(owner, "id", "left").withColumn("kept", F.coalesce(F.col("entity") == F.col("owner"), F.lit(False)))
     top = one.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = numbered(marked.where("not kept").select("entity"), ["entity"], "k").join(F.broadcast(top)).select("entity", (F.col("top") + F.col("k")).alias("id"), F.lit("new").alias("status"))
+    fresh = numbered(marked.where("not kept").select("entity"), ["entity"], "k").withColumn("top", top.scalar()).select("entity", (F.col("top") + F.col("k")).alias("id"), F.lit("new").alias("status"))
     return marked.where("kept").select("entity", "id", F.lit("kept").alias("status")).unionByName(fresh)

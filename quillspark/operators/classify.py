@@ -139,7 +139,7 @@ def rule_noise(scored: DataFrame, labels: DataFrame) -> DataFrame:
     per = spread.join(labels.select("doc_id", F.col("label").alias("of")), "doc_id").groupBy("rule_id").agg(
         F.count("*").alias("documents"), F.sum("n").alias("hits"), F.count_if(F.col("of") == "literary").alias("literary"), F.count_if(F.col("of") == "not_literary").alias("not_literary")
     )
-    return per.join(F.broadcast(rejected)).select("rule_id", "documents", "hits", (F.col("literary") / F.col("documents")).alias("still_literary"), (F.col("not_literary") / F.col("rejections")).alias("share_of_rejections"))
+    return per.withColumn("rejections", rejected.scalar()).select("rule_id", "documents", "hits", (F.col("literary") / F.col("documents")).alias("still_literary"), (F.col("not_literary") / F.col("rejections")).alias("share_of_rejections"))
 
 
 def calibrate(features: DataFrame, label: str, columns: list[str], seed: int = 20260911):

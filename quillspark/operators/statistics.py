@@ -91,7 +91,7 @@ def top_documents(documents: DataFrame, limit: int = 100) -> DataFrame:
     """The matching documents with most hits, with rate and share of all hits."""
     total = documents.agg(F.sum("occurrences").alias("total"))
     top = documents.where("occurrences > 0").orderBy(F.desc("occurrences"), "path").limit(limit)
-    return top.join(F.broadcast(total)).withColumns({"per_million": rate(F.col("occurrences"), F.col("searchable_characters"), 1e6), "share": rate(F.col("occurrences"), F.col("total"), 1.0)})
+    return top.withColumn("total", total.scalar()).withColumns({"per_million": rate(F.col("occurrences"), F.col("searchable_characters"), 1e6), "share": rate(F.col("occurrences"), F.col("total"), 1.0)})
 
 
 def concentration(documents: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def concentration(documents: DataFrame) -> DataFrame:
     top = documents.orderBy(F.desc("occurrences"), "path").limit(10).withColumn("place", F.row_number().over(Window.orderBy(F.desc("occurrences"), "path")))
     of = [F.coalesce(F.sum(F.when(F.col("place") <= k, F.col("occurrences"))), F.lit(0)).alias(f"t{k}") for k in (1, 5, 10)]
     total = documents.agg(F.greatest(F.coalesce(F.sum("occurrences"), F.lit(0)), F.lit(1)).alias("total"))
-    return top.agg(*of).join(F.broadcast(total)).select(*[(F.col(f"t{k}") / F.col("total")).alias(f"top{k}_share") for k in (1, 5, 10)])
+    return top.agg(*of).withColumn("total", total.scalar()).select(*[(F.col(f"t{k}") / F.col("total")).alias(f"top{k}_share") for k in (1, 5, 10)])
 
 
 def hash_sample(rows: DataFrame, key: str, seed: int, size: int) -> DataFrame:
@@ -140,8 +140,8 @@ def compare_scopes(documents: DataFrame, side: Column) -> DataFrame:
 def keyness(counts: DataFrame) -> DataFrame:
     """counts (item, n_a, n_b) -> two-by-two G statistic, smoothed log2 ratio, rates per 10 000 and the
     favoured side of each item."""
-    total = counts.agg(F.sum("n_a").cast("double").alias("t_a"), F.sum("n_b").cast("double").alias("t_b"))
-    x = counts.join(F.broadcast(total)).withColumns({"a": F.col("n_a").cast("double"), "b": F.col("n_b").cast("double")})
+    total = {f"t_{s}": counts.agg(F.sum(f"n_{s}").cast("double")).scalar() for s in "ab"}
+    x = counts.withColumns(total).withColumns({"a": F.col("n_a").cast("double"), "b": F.col("n_b").cast("double")})
     size = F.col("t_a") + F.col("t_b")
     cell = lambda o, row, col: F.when(o > 0, o * F.ln(o * size / (row * col))).otherwise(0.0)
     row = F.col("a") + F.col("b")

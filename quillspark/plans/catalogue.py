@@ -94,7 +94,7 @@ def j6_total_beside_rows(spark: SparkSession, root: str) -> DataFrame:
     """Every work with its mentions, and the number of all works beside each."""
     mentions = table(spark, root, "work_people").dropDuplicates(["mention_no"]).groupBy("work_key").agg(F.count("*").alias("mentions"))
     works = _works(spark, root).select("work_key")
-    return works.join(mentions, "work_key", "left").select("work_key", F.coalesce("mentions", F.lit(0)).alias("mentions")).join(F.broadcast(works.agg(F.count("*").alias("total"))))
+    return works.join(mentions, "work_key", "left").select("work_key", F.coalesce("mentions", F.lit(0)).alias("mentions")).withColumn("total", works.agg(F.count("*")).scalar())
 
 
 @query("with w as (select distinct * from works) select work_key from w where work_key in (select work_key from work_people where role = 'preface') and work_key not in (select work_key from work_people where role = 'editor')")

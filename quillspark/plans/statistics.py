@@ -350,7 +350,7 @@ def a16_alternatives(spark: SparkSession, root: str) -> DataFrame:
     rows = manifest(spark, root).where("occurrences > 0").select("document_id", "occurrences", F.from_json("matched_terms_json", "array<string>").alias("terms")).where("size(terms) > 0")
     total = rows.agg(F.sum("occurrences").alias("total"))
     spread = rows.select("document_id", "occurrences", F.explode("terms").alias("term")).groupBy("term").agg(F.countDistinct("document_id").alias("documents"), F.sum("occurrences").alias("occurrences"))
-    return spread.join(F.broadcast(total)).select("term", "documents", "occurrences", (F.col("occurrences") / F.col("total")).alias("share"))
+    return spread.withColumn("total", total.scalar()).select("term", "documents", "occurrences", (F.col("occurrences") / F.col("total")).alias("share"))
 
 
 @query(f"select lang, quantile_cont(n, 0.0) q0, quantile_cont(n, 0.25) q1, quantile_cont(n, 0.5) q2, quantile_cont(n, 0.75) q3, quantile_cont(n, 1.0) q4, avg(n) mean from (select lang, length({NORM}) n from documents) group by 1")
