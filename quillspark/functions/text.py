@@ -121,3 +121,11 @@ def title_key(title: Column) -> Column:
     """A title without quotes, brackets with content, punctuation and case."""
     bare = F.regexp_replace(F.coalesce(title, F.lit("")), r"[（(][^）)]*[）)]", "")
     return F.lower(F.regexp_replace(bare, f"[{IGNORED}]", ""))
+
+
+def julian_day(year: Column, month: Column, day: Column, gregorian: bool = True) -> Column:
+    """The Julian day number of a date; year is astronomical."""
+    shift = F.floor((14 - month) / 12)
+    y, m = year + 4800 - shift, month + 12 * shift - 3
+    base = day + F.floor((153 * m + 2) / 5) + 365 * y + F.floor(y / 4)
+    return (base - F.floor(y / 100) + F.floor(y / 400) - 32045).cast("bigint") if gregorian else (base - 32083).cast("bigint")

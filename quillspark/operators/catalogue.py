@@ -116,7 +116,7 @@ def profile_cosines(counts: DataFrame, most_share: float = 0.1) -> DataFrame:
 
 def fuzzy_titles(asked: DataFrame, titles: DataFrame, most: int = 80) -> DataFrame:
     """asked (ask) and titles (title), both normalised -> best title of each, its ratio and band: exact, or
-    among the ``most`` titles that share most bigrams (the reference's own limit), by matching blocks."""
+    among the ``most`` titles that share most bigrams (a limit that is part of the feature), by matching blocks."""
     import difflib
 
     pairs_of = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(..))."), F.lit(1)))

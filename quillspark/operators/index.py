@@ -169,3 +169,49 @@ def equivalence_paths(edges: DataFrame, longest: int = 8) -> DataFrame:
             break
         found = found.unionByName(front)
     return found
+
+
+SIGNATURE_BITS, SIGNATURE_HASHES = 4096, 4
+
+
+def _bits(characters: Column) -> Column:
+    each = F.transform(characters, lambda c: F.array(*[F.pmod(F.xxhash64(c, F.lit(k)), F.lit(SIGNATURE_BITS)).cast("int") for k in range(SIGNATURE_HASHES)]))
+    return F.array_sort(F.array_distinct(F.flatten(each)))
+
+
+def signatures(documents: DataFrame, text_column: str, id_column: str = "doc_id") -> DataFrame:
+    """doc_id, bits: the set bits of a 4096-bit Bloom signature of a body's distinct characters."""
+    distinct = F.array_distinct(F.filter(F.split(F.coalesce(F.col(text_column), F.lit("")), ""), lambda c: c != ""))
+    return documents.select(F.col(id_column).alias("doc_id"), _bits(distinct).alias("bits"))
+
+
+def maybe_holding(signed: DataFrame, term: str) -> DataFrame:
+    """Documents whose signature has all bits of the term's characters: none that holds the term is missing."""
+    wanted = _bits(F.array(*[F.lit(c) for c in dict.fromkeys(term)]))
+    return signed.where(F.size(F.array_except(wanted, F.col("bits"))) == 0).select("doc_id")
+
+
+def merge_by_priority(layers: list[DataFrame]) -> DataFrame:
+    """Annotation layers (doc_id, start, end, label), the first layer winning where ranges coincide."""
+    every = None
+    for i, layer in enumerate(layers):
+        marked = layer.select("doc_id", "start", "end", "label", F.lit(i).alias("layer"))
+        every = marked if every is None else every.unionByName(marked)
+    best = every.groupBy("doc_id", "start", "end").agg(F.min(F.struct("layer", "label")).alias("b"))
+    return best.select("doc_id", "start", "end", "b.label", "b.layer")
+
+
+def self_dated(hits: DataFrame, lengths: DataFrame, least: int = 5) -> DataFrame:
+    """Years that texts give for themselves. hits: doc_id, matched, original_start, left_context,
+    right_context; lengths: doc_id, n. A year scores 3 near the start or end (first tenth, last fifth),
+    4 beside a word of self-reference, 2 beside a first person, -2 beside narrative words; without
+    self-reference at most 4. Only texts whose best years agree are dated."""
+    around = F.concat("left_context", F.lit("|"), "right_context")
+    place = F.col("original_start") / F.greatest("n", F.lit(1))
+    boundary = F.when((place <= 0.1) | (place >= 0.8), 3).otherwise(0)
+    oneself = around.rlike("謹[識志書序]|自序|敬[識書]|撰於|書於|識於")
+    score = boundary + F.when(oneself, 4).otherwise(0) + F.when(around.rlike("[余予吾臣]"), 2).otherwise(0) - F.when(around.rlike("[卒薨崩生]於|是歲"), 2).otherwise(0)
+    scored = hits.join(lengths, "doc_id").select("doc_id", "matched", F.when(oneself, score).otherwise(F.least(score, F.lit(4))).alias("score"))
+    top = scored.groupBy("doc_id").agg(F.max("score").alias("top"))
+    near = scored.join(top, "doc_id").where((F.col("score") >= least) & (F.col("score") >= F.col("top") - 1))
+    return near.groupBy("doc_id").agg(F.countDistinct("matched").alias("years"), F.min("matched").alias("year"), F.max("score").alias("score")).where("years = 1").select("doc_id", "year", "score")

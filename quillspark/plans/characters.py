@@ -36,8 +36,8 @@ def _properties(spark: SparkSession, root: str) -> DataFrame:
     return characters.properties(rows, "c", {"source": "source", "derivation": "derivation", "size": "name_length"})
 
 
-_STACK = [("source", ["fanya_supplementary"]), ("derivation", ["variant", "style"]), ("size", ["2", "4"])]
-_STACK_SQL = f"""with {_CHARS}, s as (select ch, bool_or(field = 'source' and value = 'fanya_supplementary') a, bool_or(field = 'derivation' and value in ('variant', 'style')) b, bool_or(field = 'size' and value in ('2', '4')) d from props group by 1)"""
+_STACK = [("source", ["wikidata_east_asia"]), ("derivation", ["variant", "style"]), ("size", ["2", "4"])]
+_STACK_SQL = f"""with {_CHARS}, s as (select ch, bool_or(field = 'source' and value = 'wikidata_east_asia') a, bool_or(field = 'derivation' and value in ('variant', 'style')) b, bool_or(field = 'size' and value in ('2', '4')) d from props group by 1)"""
 
 
 @query(_STACK_SQL + " select ch from s where a and b and d")

@@ -26,3 +26,31 @@ def test_natural_order(spark):
     df = spark.createDataFrame(rows, "work string, title string, path string")
     placed = characters.natural_order(df, "work", "title").orderBy("place").select(F.col("path")).collect()
     assert [r.path for r in placed] == ["w_juan_1_1.txt", "w_juan_2_9.txt", "w_juan_10_5.txt", "w_3.txt", "w_0.txt"]
+
+
+def test_signatures_miss_nothing(spark):
+    from quillspark.operators import index
+
+    rows = [(1, "未嘗不可"), (2, "甲乙"), (3, None), (4, ""), (5, "不嘗未" * 500)]
+    signed = index.signatures(spark.createDataFrame(rows, "doc_id bigint, text string"), "text")
+    found = {r.doc_id for r in index.maybe_holding(signed, "未嘗不").collect()}
+    assert {1, 5} <= found and not {3, 4} & found
+
+
+def test_self_dating_and_layers(spark):
+    from quillspark.operators import index
+
+    hits = spark.createDataFrame([(1, "三年五月", 95, "余謹識於", ""), (1, "一年一月", 50, "", "卒於"), (2, "三年五月", 1, "余", ""), (2, "四年五月", 99, "余", "")], "doc_id bigint, matched string, original_start int, left_context string, right_context string")
+    lengths = spark.createDataFrame([(1, 100), (2, 100)], "doc_id bigint, n int")
+    assert [(r.doc_id, r.year, r.score) for r in index.self_dated(hits, lengths).collect()] == [(1, "三年五月", 9)]
+    a = spark.createDataFrame([(1, 0, 2, "x")], "doc_id bigint, start int, end int, label string")
+    b = spark.createDataFrame([(1, 0, 2, "y"), (1, 3, 4, "z")], "doc_id bigint, start int, end int, label string")
+    assert {(r.start, r.label, r.layer) for r in index.merge_by_priority([a, b]).collect()} == {(0, "x", 0), (3, "z", 1)}
+
+
+def test_day_numbers(spark):
+    from quillspark.functions.text import julian_day
+
+    df = spark.createDataFrame([(2000, 1, 1), (1582, 10, 15), (-4712, 1, 1)], "y int, m int, d int")
+    assert [r[0] for r in df.select(julian_day(F.col("y"), F.col("m"), F.col("d"))).collect()][:2] == [2451545, 2299161]
+    assert df.where("y < 0").select(julian_day(F.col("y"), F.col("m"), F.col("d"), False)).first()[0] == 0
