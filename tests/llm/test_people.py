@@ -92,3 +92,32 @@ def test_link_mentions(spark):
     ]
     assert links(spark, mentions, persons) == {1: 1, 2: 1, 3: 1, 4: 2, 5: 4, 7: 3, 12: 2, 13: 1, 14: 1, 15: 2}
     assert links(spark, [], persons) == {} == links(spark, mentions, [])
+
+
+def test_blocking_recall_against_brute_force(spark, reader):
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    path = "/root/testdata/sf0.01/people.parquet"
+    if not Path(path).exists():
+        pytest.skip("no test data")
+    people = spark.read.parquet(path)
+    rows = people.dropDuplicates(["person_no"]).collect()
+    names = ["person_no", "source", "han", "sounds", "bynames", "cites", "polity", "year_start", "year_end", "places", "tokens"]
+    records = [SimpleNamespace(**dict(zip(names, matching.features(reader, r)))) for r in rows]
+    best: dict = {}
+    accepted = {}
+    for i, a in enumerate(records):
+        for b in records[:i]:
+            if a.source != b.source:
+                one, strength = matching.judge(a, b)
+                if one:
+                    accepted[a.person_no, b.person_no] = strength
+                    for x, y in ((a, b), (b, a)):
+                        best[x.person_no, y.source] = max(best.get((x.person_no, y.source), -99), strength)
+    source = {r.person_no: r.source for r in records}
+    wanted = {(min(a, b), max(a, b)) for (a, b), s in accepted.items() if best[a, source[b]] == s and best[b, source[a]] == s}
+    found = {(r.person_no_a, r.person_no_b) for r in matching.match_sources(people).collect()}
+    assert len(wanted) > 50
+    assert len(found & wanted) / len(wanted) >= 0.97
+    assert len(found - wanted) <= 0.05 * len(found)
