@@ -2,7 +2,7 @@
 
 One pass over the whole texts measures each document: share of the most frequent phrases and n-grams, share
 of repeated lines, share of link text, density of separators, of tags, of price and stock marks, and of
-function words. Thresholds are calibrated per language, from exact quantiles of all its documents; the
+function words. Thresholds are calibrated per language, from quantiles over all its documents; the
 language is read off the letters, not the lang column, which may be wrong.
 """
 
