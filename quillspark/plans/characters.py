@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import scalars
 from quillspark.functions.text import count_exact, normalised
 from quillspark.operators import catalogue, characters, index, search
+from quillspark.operators.references import clean_id
 from quillspark.operators.search import SearchSpec
 from quillspark.plans.corpus import LATEST, NORM, SQL_HAN, bodies, manifest
 from quillspark.session import table
@@ -134,9 +135,10 @@ def j22_deepest_period(spark: SparkSession, root: str) -> DataFrame:
     up as (select child, parent, 1 depth from e union select u.child, e.parent, u.depth + 1 from up u join e on e.child = u.parent where u.depth < 6) select child, parent, min(depth)::int depth from up group by 1, 2"""
 )
 def j28_ancestor_closure(spark: SparkSession, root: str) -> DataFrame:
-    """Ancestors up to six levels of registered works."""
-    written = F.regexp_replace(F.trim("parent_work_id"), r"\.0$", "")
-    edges = table(spark, root, "metadata_id_registry").where("status = 'active' and kind = 'work'").where(written.rlike("^[1-9][0-9]*$")).select(F.concat(F.lit("work:"), "id").alias("child"), F.concat(F.lit("work:"), written).alias("parent")).distinct()
+    """Ancestors up to six levels of registered works; ids mean the same number however they are typed."""
+    works = table(spark, root, "metadata_id_registry").where("status = 'active' and kind = 'work'")
+    cleaned = works.select(F.concat(F.lit("work:"), clean_id(F.col("id"))).alias("child"), F.concat(F.lit("work:"), clean_id(F.col("parent_work_id"))).alias("parent"))
+    edges = cleaned.where("child is not null and parent is not null").distinct()
     up = edges.withColumn("depth", F.lit(1))
     every = up
     for depth in range(2, 7):

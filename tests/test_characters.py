@@ -54,3 +54,14 @@ def test_day_numbers(spark):
     df = spark.createDataFrame([(2000, 1, 1), (1582, 10, 15), (-4712, 1, 1)], "y int, m int, d int")
     assert [r[0] for r in df.select(julian_day(F.col("y"), F.col("m"), F.col("d"))).collect()][:2] == [2451545, 2299161]
     assert df.where("y < 0").select(julian_day(F.col("y"), F.col("m"), F.col("d"), False)).first()[0] == 0
+
+
+def test_ancestors_of_unevenly_typed_ids(spark, tmp_path):
+    from quillspark.plans.characters import j28_ancestor_closure
+
+    rows = [("1", "00102"), ("１０２", "103\u3000"), ("0103", "１０４"), ("104", "105.0"), ("105 ", None), ("9", " "), (None, "104")]
+    registry = spark.createDataFrame([("work", "active", *r) for r in rows] + [("work", "retired", "7", "1")], "kind string, status string, id string, parent_work_id string")
+    registry.write.parquet(f"{tmp_path}/metadata_id_registry.parquet")
+    got = {(r.child, r.parent, r.depth) for r in j28_ancestor_closure(spark, str(tmp_path)).collect()}
+    chain = [f"work:{i}" for i in (1, 102, 103, 104, 105)]
+    assert got == {(chain[i], chain[k], k - i) for i in range(5) for k in range(i + 1, 5)}
