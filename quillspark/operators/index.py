@@ -137,6 +137,16 @@ def similar_texts(streams: DataFrame, size: int, least: float) -> DataFrame:
     return measured.select("doc_a", "doc_b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.least("na", "nb")).alias("containment")).where(F.col("jaccard") >= least)
 
 
+def copy_membership(streams: DataFrame) -> DataFrame:
+    """streams (doc_id, stream) -> doc_id, representative, copies: one row per document. The representative is
+    the smallest doc_id of the same stream, by which ``similar_texts`` names a text; copies is the number of
+    documents of the stream. Without a stream (null or empty) a document represents itself alone. Only
+    digests of the streams are shuffled."""
+    keyed = cut(streams.select("doc_id", F.when(F.col("stream") != "", F.sha2("stream", 256)).alias("key")))
+    classes = keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    return keyed.join(classes, "key", "left").select("doc_id", F.coalesce("first", "doc_id").alias("representative"), F.coalesce("n", F.lit(1)).cast("bigint").alias("copies"))
+
+
 def equivalence_classes(edges: DataFrame) -> DataFrame:
     """edges (base, variant) -> ch, representative, members: connected components by the smallest member,
     jumping over the representative's representative, so that long chains take few rounds."""

@@ -378,10 +378,19 @@ _SHINGLES = f"""n as (select doc_id, {NORM} s from documents where text is not n
 )
 def j17_similar_documents(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of different texts that share most of their five-character shingles (Jaccard 0.8 or more),
-    between the first documents of exact copies."""
+    between the first documents of exact copies; j17_memberships leads from every document to its first."""
     return index.similar_texts(table(spark, root, "documents").select("doc_id", normalised(F.col("text")).alias("stream")), size=5, least=0.8)
 
 
+@query(
+    f"""with n as (select doc_id, nullif({NORM}, '') s from documents), c as (select s, min(doc_id) representative, count(*) copies from n where s is not null group by s)
+    select doc_id, coalesce(c.representative, doc_id) representative, coalesce(c.copies, 1)::bigint copies from n left join c on c.s = n.s"""
+)
+def j17_memberships(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with the first document of the same normalised text, the one that j17_similar_documents names."""
+    return index.copy_membership(table(spark, root, "documents").select("doc_id", normalised(F.col("text")).alias("stream")))
+
+
 @query("select doc_id, sexa from (select doc_id, case when y > 0 then substr('甲乙丙丁戊己庚辛壬癸', ((y - 4) % 60 + 60) % 60 % 10 + 1, 1) || substr('子丑寅卯辰巳午未申酉戌亥', ((y - 4) % 60 + 60) % 60 % 12 + 1, 1) end sexa from (select doc_id, year_start y from document_counts)) group by all")
 def x11_sexagenary(spark: SparkSession, root: str) -> DataFrame:
     """Stem-branch names of the documents' years."""

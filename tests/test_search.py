@@ -169,3 +169,13 @@ def test_longest_non_overlapping(spark):
     rows = [(1, "ab", 0), (1, "abc", 0), (1, "bc", 1), (1, "cd", 2), (1, "de", 3)]
     got = index.longest_non_overlapping(spark.createDataFrame(rows, "doc_id bigint, phrase string, start int"))
     assert sorted((r.start, r.phrase) for r in got.collect()) == [(0, "abc"), (3, "de")]
+
+
+def test_every_copy_leads_to_its_pairs(spark):
+    a, b = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxy!"
+    texts = {5: a, 3: a, 9: b, 7: b, 8: b, 1: "", 2: None, 4: "", 6: "xyz", 10: "xyz"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, stream string")
+    member = {r.doc_id: (r.representative, r.copies) for r in index.copy_membership(df).collect()}
+    assert member == {3: (3, 2), 5: (3, 2), 7: (7, 3), 8: (7, 3), 9: (7, 3), 1: (1, 1), 2: (2, 1), 4: (4, 1), 6: (6, 2), 10: (6, 2)}
+    pairs = {(r.doc_a, r.doc_b) for r in index.similar_texts(df, 5, 0.8).collect()}
+    assert {(x, y) for x in texts for y in texts if (member[x][0], member[y][0]) in pairs} == {(x, y) for x in (3, 5) for y in (7, 8, 9)}
