@@ -199,9 +199,36 @@ def _on_circle(tainted: DataFrame) -> DataFrame:
     return reached.select("id", F.lit(1).alias("circle"))
 
 
+def descendant_pairs(nodes: DataFrame) -> DataFrame:
+    """nodes (tree, node, parent) -> tree, node, descendant, distance: one row per node and node below it,
+    with the number of links between them.
+
+    Defined cases: a leaf has one row with descendant and distance null; on a cycle every node is below
+    every other and, once around, below itself, and what leads into the cycle is below all of it, each at
+    its shortest distance; nodes and parents as in ``resolve_hierarchy``.
+    By doubling: round k adds, to the ancestors within 2**k links, those of the node exactly 2**k links up.
+    """
+    named = cut(nodes.where("node is not null and tree is not null").groupBy("tree", "node").agg(F.min("parent").alias("parent")))
+    links = named.join(named.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi")
+    jumps = cut(links.select("tree", "node", F.col("parent").alias("far")))
+    pairs = cut(jumps.select("tree", F.col("far").alias("node"), F.col("node").alias("descendant"), F.lit(1).cast("bigint").alias("distance")))
+    size, length = pairs.count(), 1
+    while size:
+        higher = pairs.select("tree", F.col("node").alias("higher"), F.col("descendant").alias("far"), (F.col("distance") + length).alias("distance"))
+        further = jumps.join(higher, ["tree", "far"]).select("tree", F.col("higher").alias("node"), F.col("node").alias("descendant"), "distance")
+        pairs = cut(pairs.unionByName(further).groupBy("tree", "node", "descendant").agg(F.min("distance").alias("distance")))
+        now = pairs.count()
+        if now == size:
+            break
+        size, length = now, 2 * length
+        jumps = cut(jumps.join(jumps.select("tree", F.col("node").alias("far"), F.col("far").alias("farther")), ["tree", "far"]).select("tree", "node", F.col("farther").alias("far")))
+    return named.select("tree", "node").join(pairs, ["tree", "node"], "left").select("tree", "node", "descendant", "distance")
+
+
 def descendants(hierarchy: DataFrame) -> DataFrame:
     """How many nodes hang below each node, directly and at all, from the paths: a node counts once for
-    each name above it. Nodes on or into cycles have no path and are left out."""
+    each name above it. Counts only: leaves, and nodes on or into cycles, which have no path, are left out;
+    ``descendant_pairs`` has them."""
     above = hierarchy.where("on_cycle = 0").select("tree", "depth", F.split("path", SEPARATOR).alias("names"))
     pairs = above.where("depth > 0").select("tree", F.posexplode(F.slice("names", 1, F.size("names") - 1)).alias("level", "node"), "depth")
     return pairs.groupBy("tree", "node").agg(F.count("*").alias("descendants"), F.sum(F.when(F.col("level") == F.col("depth") - 1, 1).otherwise(0)).alias("children"))

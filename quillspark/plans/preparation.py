@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators.hierarchy import descendants, nested_nodes, resolve_hierarchy
+from quillspark.operators.hierarchy import descendant_pairs, descendants, nested_nodes, resolve_hierarchy
 from quillspark.operators.packed import known_whole_values, unpack
 from quillspark.operators.references import clean_id, orphan_references, orphan_report
 from quillspark.session import table
@@ -161,6 +161,11 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return resolve_hierarchy(_tree_nodes(spark, root))
 
 
+@query
+def p5_descendant_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return descendant_pairs(_tree_nodes(spark, root))
+
+
 @query
 def p5_descendants(spark: SparkSession, root: str) -> DataFrame:
     return descendants(resolve_hierarchy(_tree_nodes(spark, root)))
@@ -194,6 +199,15 @@ hier as (
 )
 """
 SQL["p5_found"] = _TREE + "select tree, node, root, depth, path, on_cycle from hier"
+SQL["p5_descendant_pairs"] = (
+    _TREE
+    + """, up as (
+  select tree, node descendant, parent upto, 1::bigint distance, [parent] seen from nodes where parent is not null
+  union all select u.tree, u.descendant, n.parent, u.distance + 1, list_append(u.seen, n.parent) from up u join nodes n on n.tree = u.tree and n.node = u.upto
+  where n.parent is not null and not list_contains(u.seen, n.parent)
+)
+select n.tree, n.node, u.descendant, u.distance from (select distinct tree, node from nodes) n left join up u on u.tree = n.tree and u.upto = n.node"""
+)
 SQL["p5_descendants"] = (
     _TREE
     + """, above as (select tree, node, depth, string_split(path, ' > ') names from hier where on_cycle = 0 and depth > 0),

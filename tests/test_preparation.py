@@ -111,6 +111,25 @@ def test_hierarchy_like_brute_force(spark, monkeypatch):
     assert resolved(spark, links, 6) == wanted
 
 
+def test_descendants_like_brute_force(spark):
+    rng = random.Random(5)
+    links = {f"n{i}": f"n{rng.randrange(-10, 80)}" if rng.random() < 0.8 else None for i in range(80)}
+    links |= {f"c{i}": f"c{i + 1}" for i in range(21)} | {"a > b": None, "c > d": "a > b", "s": "s", "t": "s"} | {f"k{i}": f"k{(i + 1) % 7}" for i in range(7)} | {"into": "k3"}
+    wanted = set()
+    for n in links:
+        seen, at, far = {}, links[n], 1
+        while at in links and at not in seen:
+            seen[at], at, far = far, links[at], far + 1
+        wanted |= {("t", a, n, d) for a, d in seen.items()}
+    above = {a for _, a, _, _ in wanted}
+    wanted |= {("t", n, None, None) for n in links if n not in above}
+    schema = "tree string, node string, parent string"
+    rows = hierarchy.descendant_pairs(spark.createDataFrame([("t", *x) for x in links.items()], schema)).collect()
+    assert len(rows) == len(wanted) and {tuple(r) for r in rows} == wanted
+    assert ("t", "k0", "k0", 7) in wanted and ("t", "a > b", "c > d", 1) in wanted
+    assert hierarchy.descendant_pairs(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_hierarchy_of_nothing_and_nulls(spark):
     schema = "tree string, node string, parent string"
     assert resolve_hierarchy(spark.createDataFrame([], schema), 2).count() == 0
