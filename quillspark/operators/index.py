@@ -163,22 +163,21 @@ def equivalence_classes(edges: DataFrame) -> DataFrame:
         label = new
 
 
-def equivalence_paths(edges: DataFrame, longest: int = 8) -> DataFrame:
+def equivalence_paths(edges: DataFrame) -> DataFrame:
     """from, to, path, sources: the shortest path between any two characters of one class (ties: the
-    path that sorts first), by breadth-first rounds over the small edge table."""
+    path that sorts first), by breadth-first rounds over the small edge table until no new pair is found."""
     both = edges.select(F.col("base").alias("a"), F.col("variant").alias("b"), "source")
     both = cut(both.union(both.select("b", "a", "source")).groupBy("a", "b").agg(F.min("source").alias("source")))
     found = cut(both.select(F.col("a").alias("from"), F.col("b").alias("to"), F.array("a", "b").alias("path"), F.array("source").alias("sources")))
     front = found
-    for _ in range(longest):
+    while True:
         step = front.join(both.withColumnRenamed("a", "to").withColumnRenamed("b", "next"), "to").where(~F.array_contains("path", F.col("next")))
         step = step.select("from", F.col("next").alias("to"), F.concat("path", F.array("next")).alias("path"), F.concat("sources", F.array("source")).alias("sources"))
         best = step.groupBy("from", "to").agg(F.min(F.struct("path", "sources")).alias("p")).select("from", "to", "p.path", "p.sources")
         front = cut(best.join(found.select("from", "to"), ["from", "to"], "left_anti"))
         if not front.take(1):
-            break
-        found = found.unionByName(front)
-    return found
+            return found
+        found = cut(found.unionByName(front))
 
 
 SIGNATURE_BITS, SIGNATURE_HASHES = 4096, 4

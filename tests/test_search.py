@@ -179,3 +179,10 @@ def test_every_copy_leads_to_its_pairs(spark):
     assert member == {3: (3, 2), 5: (3, 2), 7: (7, 3), 8: (7, 3), 9: (7, 3), 1: (1, 1), 2: (2, 1), 4: (4, 1), 6: (6, 2), 10: (6, 2)}
     pairs = {(r.doc_a, r.doc_b) for r in index.similar_texts(df, 5, 0.8).collect()}
     assert {(x, y) for x in texts for y in texts if (member[x][0], member[y][0]) in pairs} == {(x, y) for x in (3, 5) for y in (7, 8, 9)}
+
+
+def test_paths_along_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"c{i:02}", f"c{i + 1:02}", "s") for i in range(12)], "base string, variant string, source string")
+    got = {(r["from"], r.to): (r.path, len(r.sources)) for r in index.equivalence_paths(edges).collect()}
+    names = [f"c{i:02}" for i in range(13)]
+    assert got == {(names[i], names[k]): (names[i : k + 1] if i < k else names[k : i + 1][::-1], abs(i - k)) for i in range(13) for k in range(13) if i != k}
