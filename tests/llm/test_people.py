@@ -65,6 +65,12 @@ def test_match_sources(spark):
     assert matching.match_sources(df.limit(0)).count() == 0
 
 
+def test_match_with_polity_and_uneven_years_only(spark):
+    rows = [person(1, "f", "何海維", 650, 720, "唐", "甲書卷1"), person(2, "c", "何海維", 671, 729, "唐", None), person(3, "f", "蔡逵鶴", 1714, 1745, "清", None), person(4, "c", "蔡逵鶴", 1700, 1750, "清", None)]
+    found = matching.match_sources(spark.createDataFrame(rows, PEOPLE)).collect()
+    assert {(r.person_no_a, r.person_no_b) for r in found} == {(1, 2), (3, 4)}
+
+
 def test_third_source_closes_and_ties_stay_single(spark):
     schema = "a bigint, b bigint, source_a string, source_b string, cosine double, strength double"
     pairs = spark.createDataFrame([(1, 2, "x", "y", 0.9, 5.0), (2, 3, "y", "z", 0.8, 5.0), (1, 4, "x", "y", 0.9, 5.0), (5, 2, "x", "y", 0.99, 4.0)], schema)
