@@ -186,3 +186,10 @@ def test_paths_along_a_long_chain(spark):
     got = {(r["from"], r.to): (r.path, len(r.sources)) for r in index.equivalence_paths(edges).collect()}
     names = [f"c{i:02}" for i in range(13)]
     assert got == {(names[i], names[k]): (names[i : k + 1] if i < k else names[k : i + 1][::-1], abs(i - k)) for i in range(13) for k in range(13) if i != k}
+
+
+def test_similar_texts_of_a_large_family(spark):
+    base = "".join(chr(0x4E00 + i) for i in range(100))
+    texts = [(i, base + chr(0x5F00 + i)) for i in range(70)]
+    got = {(r.doc_a, r.doc_b) for r in index.similar_texts(spark.createDataFrame(texts, "doc_id bigint, stream string"), 5, 0.8).collect()}
+    assert got == {(a, b) for a in range(70) for b in range(a + 1, 70)}
