@@ -131,14 +131,18 @@ def measures(documents: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def calibrate(measured: DataFrame) -> DataFrame:
-    """Per language the least share of phrases, of words and of one n-gram that counts as stuffing: well
-    above what its ordinary documents reach (three times the distance from median to upper quartile above
-    the quartile), kept between fixed bounds so that a language full of spam or of few documents still
-    gets a sensible one. One row per language."""
+    """Per language the least share of phrases, of words, of one n-gram and of repeated pieces that counts as
+    stuffing: well above what its ordinary documents reach (three times the distance from median to upper
+    quartile above the quartile), kept between fixed bounds so that a language full of spam or of few
+    documents still gets a sensible one; and half its usual density of separators. One row per language."""
     bound = lambda name, low, high: F.least(
         F.lit(high), F.greatest(F.lit(low), F.expr(f"percentile_approx({name}, 0.75, 1000) * 4 - percentile_approx({name}, 0.5, 1000) * 3"))
     )
-    return measured.groupBy("language").agg(bound("phrase", 0.36, 0.45).alias("least_phrase"), bound("word", 0.5, 0.53).alias("least_word"), bound("gram", 0.27, 0.35).alias("least_gram"), bound("pair", 0.22, 0.3).alias("least_pair"))
+    separators = F.least(F.lit(0.1), F.greatest(F.lit(0.03), F.expr("percentile_approx(separators, 0.5, 1000) / 2")))
+    return measured.groupBy("language").agg(
+        bound("phrase", 0.36, 0.45).alias("least_phrase"), bound("word", 0.5, 0.53).alias("least_word"), bound("gram", 0.27, 0.35).alias("least_gram"), bound("pair", 0.22, 0.3).alias("least_pair"),
+        bound("repeat", 0.7, 0.85).alias("least_repeat"), separators.alias("least_separators"),
+    )
 
 
 def find_spam(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -155,5 +159,8 @@ def find_spam(documents: DataFrame, id_column: str = "doc_id", text_column: str
     stuffed = "pieces >= 6 and (phrase >= least_phrase or gram >= least_gram or pair >= least_pair and language <> 'latin')"
     words = "words >= 12 and word >= least_word and distinct <= 0.62 and function < 0.05"
     mixed = "links >= 2 and link >= 0.15 and phrase >= 0.3 or lines >= 0.6 and pieces >= 12"
-    reason = F.expr(f"case when {links} then 'links' when {tags} then 'tags' when {products} then 'products' when {stuffed} then 'keywords' when {words} then 'words' when {mixed} then 'mixed' end")
+    # Many keywords in turn: no eight of them weigh much, all together are most of the page. Long registers
+    # repeat their fields too, but half of their words are names that come once.
+    turns = "pieces >= 24 and distinct <= 0.3 and repeat >= least_repeat and separators >= least_separators and function < 0.05"
+    reason = F.expr(f"case when {links} then 'links' when {tags} then 'tags' when {products} then 'products' when {stuffed} then 'keywords' when {words} then 'words' when {mixed} then 'mixed' when {turns} then 'keywords' end")
     return judged.withColumn("reason", reason).where("reason is not null").select(id_column, "language", "reason")

@@ -125,6 +125,19 @@ def test_spam_and_sound_texts(spark):
     assert spam.measure("字" * 300_000)[0] == 300_000
 
 
+def test_many_keywords_in_turn_are_spam(spark):
+    import random
+
+    rng = random.Random(3)
+    signs = [chr(0x5100 + i) for i in range(120)]
+    keywords = ["".join(signs[4 * i : 4 * i + 4]) for i in range(30)]
+    page = "、".join(rng.choice(keywords) for _ in range(240))
+    contents = "、".join("".join(rng.choice(signs) for _ in range(4)) for _ in range(240))
+    rows = [(1, page), (2, contents), *((3 + i, t) for i, t in enumerate(SOUND))]
+    found = spam.find_spam(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [(r.doc_id, r.reason) for r in found] == [(1, "keywords")]
+
+
 T0 = dt.datetime(2024, 1, 1)
 FIELDS = ["author", "year"]
 SCHEMA = "group_id string, member_id string, author string, year int, role string, seen timestamp, survivor_id string"
