@@ -3,8 +3,8 @@
 Merge-and-rematch resolution: every person starts as a profile of spellings, in characters, in sound, as
 initials and as near misses of the typed letters. Mentions that share a spelling key with a profile of a
 fitting polity are checked exactly (spelling and time); a mention that fits one person best is merged, its
-spellings, initials and by-names join the profile, and what the profile gained enters blocking again, until
-a round merges nothing.
+spellings and by-names join the profile, and what the profile gained enters blocking again, until a round
+merges nothing. Initials and slips are compared with names and merged spellings, not with by-names.
 """
 
 from __future__ import annotations
@@ -134,6 +134,22 @@ def agreement(reader: Reader, m: dict, names: list[str], bynames: set[str]) -> i
     return best
 
 
+def variant_agreement(reader: Reader, m: dict, bynames: list[str], spelled: list[str], letters: list[str]) -> int:
+    """The agreement with what a profile has besides its name: by-names and merged spellings in characters,
+    read like names, and merged spellings in letters. Initials and slips of by-names do not count: many
+    by-names lack the surname, and such links name people of other surnames."""
+    best = agreement(reader, m, bynames, set())
+    best = max(best if best >= _SWAPPED else 0, agreement(reader, m, spelled, set()))
+    if not best and any(one_slip(a, b) for a in m["letters"] for b in letters):
+        return _TYPO
+    return best
+
+
+def variant_keys(reader: Reader, han: list[str], letters: list[str]) -> list[str]:
+    """Blocking keys of by-names and merged spellings: as names, and by the letters as typed."""
+    return sorted({*keys_of(reader, han, []), *(f"d:{x}" for text in letters for x in near(text))})
+
+
 def time_gap(year: float | None, start: float | None, end: float | None) -> float | None:
     """Years between a work and a life; 0 inside; None if unknown. A missing end leaves 90 years."""
     if year is None or year != year or (start is None or start != start) and (end is None or end != end):
@@ -155,7 +171,7 @@ def fits(level: int, same_polity: bool | None, gap: float | None) -> bool:
 
 
 _MENTION = "mention_no bigint, text string, polity string, year double, keys array<string>"
-_PROFILE = "person_no bigint, names array<string>, bynames array<string>, polity string, year_start double, year_end double, keys array<string>"
+_PROFILE = "person_no bigint, names array<string>, bynames array<string>, spelled array<string>, letters array<string>, polity string, year_start double, year_end double, keys array<string>"
 
 
 def link_mentions(mentions: DataFrame, persons: DataFrame) -> DataFrame:
@@ -181,8 +197,8 @@ def link_mentions(mentions: DataFrame, persons: DataFrame) -> DataFrame:
                     continue
                 han = name["han"]
                 bynames = sorted({*reader.aliases(r.other_names, han), *name["extra"], *(reader.surname_of(han) + x for x in name["extra"])} - {han})
-                out.append((r.person_no, [han], bynames, reader.polity(r.polity), r.year_start, r.year_end, keys_of(reader, [han], bynames)))
-            yield pd.DataFrame(out, columns=["person_no", "names", "bynames", "polity", "year_start", "year_end", "keys"])
+                out.append((r.person_no, [han], bynames, [], [], reader.polity(r.polity), r.year_start, r.year_end, keys_of(reader, [han], bynames)))
+            yield pd.DataFrame(out, columns=["person_no", "names", "bynames", "spelled", "letters", "polity", "year_start", "year_end", "keys"])
 
     def read_mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(tables.value)
@@ -201,14 +217,17 @@ def link_mentions(mentions: DataFrame, persons: DataFrame) -> DataFrame:
             for r in batch.itertuples(index=False):
                 m = read_mention(reader, r.text)
                 level = agreement(reader, m, list(r.names), set(r.bynames)) if m else 0
+                direct = int(level > 0)
+                if m and r.wide and not level:
+                    level = variant_agreement(reader, m, list(r.bynames), list(r.spelled), list(r.letters))
                 same = None if r.polity is None or r.of_person is None else r.polity == r.of_person
                 gap = time_gap(r.year, r.year_start, r.year_end)
                 if fits(level, same, gap):
-                    out.append((r.mention_no, r.person_no, level, 2 * (same is True) + (gap == 0)))
-            yield pd.DataFrame(out, columns=["mention_no", "person_no", "agreement", "context"]).astype({"mention_no": "int64", "person_no": "int64", "agreement": "int32", "context": "int32"})
+                    out.append((r.mention_no, r.person_no, direct, level, 2 * (same is True) + (gap == 0)))
+            yield pd.DataFrame(out, columns=["mention_no", "person_no", "direct", "agreement", "context"]).astype({"mention_no": "int64", "person_no": "int64", "direct": "int32", "agreement": "int32", "context": "int32"})
 
     def gained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The by-names that a merged mention brings to its profile."""
+        """What a merged mention brings to its profile: by-names, and its spelling in characters or letters."""
         reader = Reader(tables.value)
         for batch in batches:
             out = []
@@ -221,8 +240,18 @@ def link_mentions(mentions: DataFrame, persons: DataFrame) -> DataFrame:
                         new.add(rest)
                 surname = reader.surname_of(r.names[0])
                 new |= {surname + x for x in new if not x.startswith(surname)}
-                out += [(r.person_no, x) for x in sorted(new - set(r.bynames) - set(r.names))]
-            yield pd.DataFrame(out, columns=["person_no", "byname"]).astype({"person_no": "int64"})
+                out += [(r.person_no, "byname", x) for x in sorted(new - set(r.bynames) - set(r.names))]
+                if m and m["han"] and not m["parts"] and m["han"] not in {*r.names, *r.bynames, *r.spelled}:
+                    out.append((r.person_no, "spelled", m["han"]))
+                known = {*r.letters, *(x for h in r.names for x in letters_of(reader, h))}
+                out += [(r.person_no, "letters", x) for x in (m["letters"] if m else ()) if x not in known]
+            yield pd.DataFrame(out, columns=["person_no", "kind", "value"]).astype({"person_no": "int64"})
+
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(tables.value)
+        for batch in batches:
+            out = [(r.person_no, key, r.of) for r in batch.itertuples(index=False) for key in variant_keys(reader, list(r.han), list(r.letters))]
+            yield pd.DataFrame(out, columns=["person_no", "key", "of"]).astype({"person_no": "int64"})
 
     one_person = persons.where("person_no is not null and name is not null").select("person_no", "name", "other_names", "polity", F.col("year_start").cast("double").alias("year_start"), F.col("year_end").cast("double").alias("year_end"))
     profiles = cut(one_person.dropDuplicates(["person_no"]).mapInPandas(read_persons, _PROFILE))
@@ -234,29 +263,44 @@ def link_mentions(mentions: DataFrame, persons: DataFrame) -> DataFrame:
     asking = waiting.select("mention_no", F.explode("keys").alias("key"), asked.alias("asked")).select("mention_no", "key", F.explode("asked").alias("of"))
     entering = profiles.select("person_no", F.explode("keys").alias("key"), F.coalesce("polity", F.lit("")).alias("of"))
 
-    links, turn = None, 1
+    none = F.array().cast("array<string>")
+    of = F.coalesce("polity", F.lit("")).alias("of")
+    # By-names and merged spellings are first compared exactly only; once that merges nothing more, they are
+    # compared like names with the mentions that fit nobody so far, so that they never outdo a name.
+    links, fitted, wide, turn = None, None, False, 1
     while True:
-        open_mentions = waiting if links is None else waiting.join(links.select("mention_no"), "mention_no", "left_anti")
+        open_mentions = waiting
+        if links is not None:
+            open_mentions = waiting.join((fitted if wide else links).select("mention_no"), "mention_no", "left_anti")
         pairs = asking.join(entering, ["key", "of"]).select("mention_no", "person_no").distinct()
         judged = (
             pairs.join(open_mentions.select("mention_no", "text", "polity", "year"), "mention_no")
-            .join(profiles.select("person_no", "names", "bynames", F.col("polity").alias("of_person"), "year_start", "year_end"), "person_no")
-            .mapInPandas(judge, "mention_no bigint, person_no bigint, agreement int, context int")
+            .join(profiles.select("person_no", "names", "bynames", "spelled", "letters", F.col("polity").alias("of_person"), "year_start", "year_end"), "person_no")
+            .withColumn("wide", F.lit(wide))
+            .mapInPandas(judge, "mention_no bigint, person_no bigint, direct int, agreement int, context int")
         )
         best = Window.partitionBy("mention_no")
-        ranked = judged.withColumn("score", F.struct("agreement", "context")).withColumn("top", F.max("score").over(best)).where("score = top").withColumn("rivals", F.count("*").over(best))
-        merged = cut(ranked.where("rivals = 1").select("mention_no", "person_no", "agreement", F.lit(turn).alias("round")))
+        ranked = cut(judged.withColumn("score", F.struct("direct", "agreement", "context")).withColumn("top", F.max("score").over(best)).where("score = top").withColumn("rivals", F.count("*").over(best)))
+        merged = ranked.where("rivals = 1").select("mention_no", "person_no", "agreement", F.lit(turn).alias("round"))
         links = merged if links is None else links.unionByName(merged)
+        fit = ranked.select("mention_no").distinct()
+        fitted = fit if fitted is None else fitted.unionByName(fit)
         new = cut(
             merged.join(waiting.select("mention_no", "text"), "mention_no")
-            .join(profiles.select("person_no", "names", "bynames"), "person_no")
-            .mapInPandas(gained, "person_no bigint, byname string")
+            .join(profiles.select("person_no", "names", "bynames", "spelled", "letters"), "person_no")
+            .mapInPandas(gained, "person_no bigint, kind string, value string")
             .distinct()
         )
-        if not new.take(1):
+        some = new.where("true" if wide else "kind = 'byname'").take(1)
+        if wide and not some:
             return links
-        more = new.groupBy("person_no").agg(F.sort_array(F.collect_set("byname")).alias("more"))
-        profiles = cut(profiles.join(more, "person_no", "left").withColumn("bynames", F.array_union("bynames", F.coalesce("more", F.array().cast("array<string>")))).drop("more"))
+        more = new.groupBy("person_no").pivot("kind", ["byname", "spelled", "letters"]).agg(F.sort_array(F.collect_set("value"))).toDF("person_no", "b", "s", "l")
+        profiles = cut(profiles.join(more, "person_no", "left").withColumns({c: F.array_union(c, F.coalesce(x, none)) for c, x in (("bynames", "b"), ("spelled", "s"), ("letters", "l"))}).drop("b", "s", "l"))
         # Only what profiles gained enters blocking again; what they had has met every mention already.
-        entering = new.join(profiles.select("person_no", "polity"), "person_no").select("person_no", F.concat(F.lit("h:"), "byname").alias("key"), F.coalesce("polity", F.lit("")).alias("of"))
+        if some and not wide:
+            entering = new.where("kind = 'byname'").join(profiles.select("person_no", "polity"), "person_no").select("person_no", F.concat(F.lit("h:"), "value").alias("key"), of)
+        else:
+            gains = more.select("person_no", F.concat(F.coalesce("b", none), F.coalesce("s", none)).alias("han"), F.coalesce("l", none).alias("letters")) if wide else profiles.select("person_no", F.concat("bynames", "spelled").alias("han"), "letters")
+            entering = gains.join(profiles.select("person_no", of), "person_no").mapInPandas(enter, "person_no bigint, key string, of string")
+            wide = True
         turn += 1

@@ -89,6 +89,12 @@ def links(spark, mentions, persons):
     return {r.mention_no: r.person_no for r in variants.link_mentions(m, p).collect()}
 
 
+def test_mentions_that_fit_merged_spellings_only(spark):
+    persons = [(1, "曹建琦", "景輔", "元", 1341, 1408), (2, "錢炳吉", "", "漢", -131, -93)]
+    mentions = [(1, "Cao Jingfu", "元", 1380), (2, "Qian Bigji", "漢", -110), (3, "Qian Bigjy", "漢", -110), (4, "Cao Jingfu", "清", 1800), (5, "Qian Xxxxx", "漢", -110)]
+    assert links(spark, mentions, persons) == {1: 1, 2: 2, 3: 2}
+
+
 def test_link_mentions(spark):
     persons = [(1, "曹建琦", "弟偽居士 | 景輔", "元", 1341, 1408), (2, "錢炳吉", "", "漢", -131, -93), (3, "盧知榮", None, "唐", 716, 742), (4, "盧知榮", None, "清", 1816, 1842), (5, None, None, "清", 1, 2), (6, "李潛德", None, "明", 1500, 1560), (7, "李清丹", None, "明", 1500, 1560), (1, "曹建琦", "弟偽居士 | 景輔", "元", 1341, 1408)]
     mentions = [
