@@ -59,10 +59,10 @@ def in_interval(points: DataFrame, at: str, intervals: DataFrame, start: str, en
     return points.withColumn("_cell", F.floor(F.col(at) / step)).join(cells, "_cell").where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("_cell")
 
 
-def ancestors(path: Column, longest: int = 64) -> Column:
+def ancestors(path: Column) -> Column:
     """All prefixes of a path at segment borders, itself included, as structs (prefix, depth)."""
     segments = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.least(F.size(segments), F.lit(longest))), lambda k: F.struct(F.array_join(F.slice(segments, F.lit(1), k), "/").alias("prefix"), k.alias("depth")))
+    return F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.struct(F.array_join(F.slice(segments, F.lit(1), k), "/").alias("prefix"), k.alias("depth")))
 
 
 def nearest_ancestor(rows: DataFrame, key: str, path: str, owners: DataFrame) -> DataFrame:

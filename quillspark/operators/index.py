@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +43,17 @@ def parse_documents(documents: DataFrame, text_column: str) -> DataFrame:
 
 
 def postings(documents: DataFrame, text_column: str, id_column: str = "doc_id") -> DataFrame:
-    """term, doc_id, n: occurrences of each character per document. Counting by document first keeps the
-    shuffle to one row per distinct character of a document."""
-    characters = documents.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("doc_id"), F.explode(F.split(text_column, "")).alias("term"))
-    return characters.where("term <> ''").groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    """term, doc_id, n: occurrences of each character per document. A document lies in one row, so its
+    characters are counted where it lies and nothing is shuffled; of two rows of one id each has its own."""
+    kind = documents.schema[id_column].dataType.simpleString()
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counted = [Counter(t) for t in batch["t"]]
+            sizes = [len(c) for c in counted]
+            yield pd.DataFrame({"term": [k for c in counted for k in c], "doc_id": batch["doc_id"].repeat(sizes).to_numpy(), "n": [n for c in counted for n in c.values()]})
+
+    return documents.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("t")).mapInPandas(count, f"term string, doc_id {kind}, n bigint")
 
 
 def candidates(index: DataFrame, terms: list[str], how: str) -> DataFrame:
@@ -52,9 +63,18 @@ def candidates(index: DataFrame, terms: list[str], how: str) -> DataFrame:
 
 
 def character_counts(documents: DataFrame, text_column: str, han_only: bool) -> DataFrame:
-    """ch, n over the whole corpus, map-side combined."""
-    characters = documents.where(F.col(text_column).isNotNull()).select(F.explode(F.split(text_column, "")).alias("ch"))
-    return characters.where(F.col("ch").rlike(f"^[{HAN}]$") if han_only else F.col("ch") != "").groupBy("ch").agg(F.count("*").alias("n"))
+    """ch, n over the whole corpus: each task counts its texts into one table of the characters (a closed
+    set), and only those tables meet."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        for batch in batches:
+            for t in batch["t"]:
+                total.update(t)
+        yield pd.DataFrame({"ch": list(total), "n": list(total.values())}).astype({"n": "int64"})
+
+    counted = documents.where(F.col(text_column).isNotNull()).select(F.col(text_column).alias("t")).mapInPandas(count, "ch string, n bigint")
+    return (counted.where(F.col("ch").rlike(f"^[{HAN}]$")) if han_only else counted).groupBy("ch").agg(F.sum("n").alias("n"))
 
 
 def ranked_frequencies(counts: DataFrame) -> DataFrame:
@@ -120,7 +140,9 @@ def similar_texts(streams: DataFrame, size: int, least: float) -> DataFrame:
     Jaccard t or more must share one among their first n - ceil(t n) + 1. Only those prefixes are joined, and
     common shingles fall out of them; lengths that cannot reach t are refused before verification.
     """
-    unique = streams.where(F.length("stream") >= size).groupBy("stream").agg(F.min("doc_id").alias("doc_id"))
+    # Texts meet by digest; whole texts are not shuffled as keys.
+    firsts = streams.where(F.length("stream") >= size).groupBy(F.sha2("stream", 256).alias("key")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    unique = streams.where(F.length("stream") >= size).join(firsts, "doc_id", "left_semi")
     sets = cut(unique.select("doc_id", F.transform(F.array_distinct(_grams(F.col("stream"), size)), lambda g: F.xxhash64(g)).alias("grams")))
     each = sets.select("doc_id", F.explode("grams").alias("g"))
     counted = each.join(each.groupBy("g").agg(F.count("*").alias("df")), "g").where("df > 1")

@@ -7,7 +7,10 @@ in Arrow batches, and sends back hits only.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -18,11 +21,22 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import canonical_parent, folder_of, normalised, overlaps_years, quoted, role_of
 
 MODES = ("exact", "regex", "or", "proximity")
+# What a search refuses.
+MAX_TERMS, MAX_TERM_LENGTH, MAX_PATTERN_LENGTH = 10, 80, 1000
+#: Roles that can be searched, in the order they are listed.
+ROLES = ("canonical", "textual_variant", "reconstruction", "raw", "translation", "annotation", "derived_reading")
+#: How much context the stored hits carry; a page cuts it to what was asked for.
+STORED_CONTEXT = 200
 
 
 @dataclass(frozen=True)
 class SearchSpec:
-    """What to search and where; values out of range are brought into it."""
+    """What to search and where.
+
+    Numbers out of range are brought into it. Queries that would have to be cut to be answered (no term, too
+    long a term or pattern, fewer than two or more than ten terms, a pattern that does not compile) raise
+    ValueError: nothing is dropped silently. Roles nobody can search are left out; without any, the canonical.
+    """
 
     terms: tuple[str, ...]
     mode: str = "exact"
@@ -40,22 +54,66 @@ class SearchSpec:
     per_page: int = 20
     classes: tuple[str, ...] = ()
     deduplicate: bool = False
+    #: A document on which a regular expression runs longer fails the search instead of holding a task for ever.
+    regex_seconds: float = 30.0
 
     def __post_init__(self):
         put = lambda k, v: object.__setattr__(self, k, v)
-        put("terms", tuple(t[:80] if self.mode != "regex" else t[:1000] for t in self.terms if t)[:10])
+        put("terms", tuple(self.terms) if self.mode == "regex" else tuple(t.strip() for t in self.terms if t.strip()))
         put("span", min(max(self.span, 1), 5000))
-        put("context", min(max(self.context, 0), 200))
+        put("context", min(max(self.context, 0), 500))
         put("per_page", min(max(self.per_page, 1), 50))
-        put("page", max(self.page, 1))
+        put("page", min(max(self.page, 1), 100_000))
+        put("roles", tuple(r for r in ROLES if r in self.roles) or ("canonical",))
+        put("folders", _paths(self.folders))
+        put("exclude_folders", _paths(self.exclude_folders))
+        put("metadata", {k: v.strip() for k, v in self.metadata.items() if v and v.strip()})
+        for problem in self._problems():
+            raise ValueError(problem)
+
+    def _problems(self) -> Iterator[str]:
         if self.mode not in MODES:
-            raise ValueError(f"mode must be one of {MODES}")
+            yield f"mode must be one of {MODES}"
+        if self.order not in ("any", "entered"):
+            yield "order must be any or entered"
+        if self.punctuation not in ("ignore", "respect"):
+            yield "punctuation must be ignore or respect"
         if self.mode == "regex":
-            re.compile(self.terms[0] if self.terms else "")
+            if len(self.terms) != 1 or not self.terms[0]:
+                yield "one pattern is needed"
+            elif len(self.terms[0]) > MAX_PATTERN_LENGTH:
+                yield f"a pattern has at most {MAX_PATTERN_LENGTH} characters"
+            else:
+                try:
+                    re.compile(self.terms[0])
+                except re.error as e:
+                    yield f"the pattern does not compile: {e}"
+            return
+        if self.mode == "exact" and len(self.terms) != 1:
+            yield "one term is needed"
+        if self.mode in ("or", "proximity") and not 2 <= len(self.terms) <= MAX_TERMS:
+            yield f"two to {MAX_TERMS} terms are needed"
+        if any(len(t) > MAX_TERM_LENGTH for t in self.terms):
+            yield f"a term has at most {MAX_TERM_LENGTH} characters"
 
     def to_dict(self) -> dict:
         return asdict(self)
 
+    @classmethod
+    def from_dict(cls, values: dict) -> SearchSpec:
+        """The spec that ``to_dict`` (or its JSON) describes; unknown keys are refused."""
+        lists = ("terms", "roles", "folders", "exclude_folders", "classes")
+        return cls(**{k: tuple(v) if k in lists else v for k, v in values.items()})
+
+    def cache_key(self) -> str:
+        """A digest of what is searched; pages and context do not change it."""
+        meaning = {k: v for k, v in self.to_dict().items() if k not in ("page", "per_page", "context", "regex_seconds")}
+        return hashlib.sha256(json.dumps(meaning, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+
+
+def _paths(values) -> tuple[str, ...]:
+    return tuple(sorted({p for v in values if (p := v.strip().replace("\\", "/").strip("/"))}))
+
 
 def in_scope(manifest: DataFrame, spec: SearchSpec) -> DataFrame:
     """Rows of a manifest (path, document_role, facets, years) within the scope; all conditions hold."""
@@ -80,9 +138,10 @@ def with_path_facts(manifest: DataFrame) -> DataFrame:
 
 def prefilter(spec: SearchSpec, stream: Column) -> Column:
     """A cheap condition that every document with a hit meets: all terms (exact, proximity) or one (or)
-    occur; equivalence classes count as one character. Regular expressions are tested as they are."""
+    occur; equivalence classes count as one character. A regular expression is tested here only if it is
+    built from nothing that Java and Python read differently; else every document is a candidate."""
     if spec.mode == "regex":
-        return stream.rlike(spec.terms[0])
+        return stream.rlike(spec.terms[0]) if read_alike(spec.terms[0]) else F.lit(True)
     tests = [stream.rlike(pattern_of(t, spec)) if spec.classes else stream.contains(t) for t in spec.terms]
     test = tests[0]
     for t in tests[1:]:
@@ -90,6 +149,15 @@ def prefilter(spec: SearchSpec, stream: Column) -> Column:
     return test
 
 
+# Letters, plain sets, groups, alternatives and counts. No escapes, dots, anchors, look-around or flags.
+_PLAIN_PATTERN = re.compile(r"(?:[^\\\[\](){}*+?.^$|&~#\s]|\[\^?[^\\\[\]&~^\s-]+(?:-[^\\\[\]&~^\s-]+)*\]|\((?!\?)|\)|\||(?<![*+?}(|])(?:[*+?]|\{\d+(?:,\d*)?\}))+")
+
+
+def read_alike(pattern: str) -> bool:
+    """Whether Java and Python surely read a pattern the same way."""
+    return bool(pattern) and _PLAIN_PATTERN.fullmatch(pattern) is not None
+
+
 def pattern_of(term: str, spec: SearchSpec) -> str:
     """The term as a regular expression, each character widened to its equivalence class."""
     wide = {c: group for group in spec.classes for c in group}
@@ -155,12 +223,21 @@ def ordered_windows(places: list[list[tuple[int, int]]], same: list[int], span:
     return found
 
 
+def regex_spans(pattern: str, text: str, seconds: float) -> list[tuple[int, int]]:
+    """Non-empty matches. Where the regex module is installed, a text that takes longer raises TimeoutError."""
+    try:
+        import regex
+    except ImportError:
+        return [m.span() for m in re.finditer(pattern, text) if m.end() > m.start()]
+    return [m.span() for m in regex.finditer(pattern, text, timeout=seconds) if m.end() > m.start()]
+
+
 def match_text(spec: SearchSpec, stream: str) -> list[list[tuple[int, int, int]]]:
     """Hits in a searchable stream, each a list of (term index, start, end)."""
     if not spec.terms:
         return []
     if spec.mode == "regex":
-        return [[(0, *m.span())] for m in re.finditer(spec.terms[0], stream) if m.end() > m.start()]
+        return [[(0, *span)] for span in regex_spans(spec.terms[0], stream, spec.regex_seconds)]
     distinct = list(dict.fromkeys(spec.terms))
     places = [overlapping(re.compile(pattern_of(t, spec)), stream) for t in distinct]
     same = [distinct.index(t) for t in spec.terms]
@@ -177,6 +254,40 @@ def match_text(spec: SearchSpec, stream: str) -> list[list[tuple[int, int, int]]
     return [ranges[k] for k in sorted(ranges)]
 
 
+def ignored_runs() -> re.Pattern:
+    """Runs of what a search ignores, as a pattern: punctuation, separators, white space, zero-width."""
+    import sys
+    import unicodedata
+
+    zero = {0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x85, *range(0x09, 0x0E)}
+    ranges: list[list[int]] = []
+    for code in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(code))[0] in "PZ" or code in zero:
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]+")
+
+
+def without_ignored(body: str, ignored: re.Pattern) -> tuple[str, list[int], list[int]]:
+    """The searchable stream, and its offset map in runs: from stream position starts[i] on, the body's
+    position is shifts[i] further."""
+    kept, starts, shifts, at, length = [], [], [], 0, 0
+    for m in ignored.finditer(body):
+        if m.start() > at:
+            kept.append(body[at : m.start()])
+            starts.append(length)
+            shifts.append(at - length)
+            length += m.start() - at
+        at = m.end()
+    if at < len(body):
+        kept.append(body[at:])
+        starts.append(length)
+        shifts.append(at - length)
+    return "".join(kept), starts, shifts
+
+
 _HITS = (
     "doc_id bigint, search_start int, search_end int, original_start int, original_end int, matched string,"
     " left_context string, right_context string, left_neighbours string, right_neighbours string, term_matches array<struct<term_index: int, search_start: int, search_end: int>>"
@@ -192,28 +303,18 @@ def find_hits(documents: DataFrame, spec: SearchSpec, id_column: str = "doc_id",
     documents with hits reach Python; texts are scanned whole.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import unicodedata
-
-        zero = {"​", "‌", "‍", "⁠", "﻿", "\x85"}
-        memo: dict[str, bool] = {}
-
-        def ignored(c: str) -> bool:
-            known = memo.get(c)
-            if known is None:
-                known = memo[c] = unicodedata.category(c)[0] in "PZ" or c in zero or c in "\t\n\x0b\x0c\r"
-            return known
-
+        ignored = ignored_runs()
         for batch in batches:
             out = []
             for doc, body in zip(batch["doc_id"], batch["body"]):
                 if spec.punctuation == "ignore":
-                    offsets = [i for i, c in enumerate(body) if not ignored(c)]
-                    stream = "".join(body[i] for i in offsets)
+                    stream, starts, shifts = without_ignored(body, ignored)
+                    original = lambda at: at + shifts[bisect_right(starts, at) - 1]  # noqa: E731, B023
                 else:
-                    offsets, stream = range(len(body)), body
+                    stream, original = body, lambda at: at
                 for chosen in match_text(spec, stream):
                     s, e = min(x[1] for x in chosen), max(x[2] for x in chosen)
-                    a, b = offsets[s], offsets[e - 1] + 1
+                    a, b = original(s), original(e - 1) + 1
                     out.append(
                         (doc, s, e, a, b, body[a:b], body[max(0, a - spec.context) : a], body[b : b + spec.context], stream[max(0, s - 5) : s], stream[e : e + 5])
                         + ([{"term_index": t, "search_start": x, "search_end": y} for t, x, y in chosen],)
@@ -234,10 +335,52 @@ def occurrence_key(*columns: str) -> Column:
 
 
 def first_per_body(documents: DataFrame, fingerprint: str, order: str) -> DataFrame:
-    """The first document of each body in manifest order; documents of empty fingerprint all stay."""
-    place = F.row_number().over(Window.partitionBy(fingerprint).orderBy(order))
+    """The first document of each body in manifest order; documents of empty fingerprint all stay. Combined
+    map-side, so a page copied a billion times is one row a task."""
     blank = F.coalesce(F.col(fingerprint), F.lit("")) == ""
-    return documents.where(~blank).withColumn("_place", place).where("_place = 1").drop("_place").unionByName(documents.where(blank))
+    whole = F.struct(*[F.col(c) for c in documents.columns])
+    first = documents.where(~blank).groupBy(F.col(fingerprint).alias("_body")).agg(F.min_by(whole, F.struct(F.col(order).isNull(), F.col(order))).alias("_first"))
+    return first.select("_first.*").unionByName(documents.where(blank))
+
+
+def distinct_hits(hits: DataFrame) -> DataFrame:
+    """Hits without those that say the same: one per document, original and searchable range."""
+    return hits.dropDuplicates(["doc_id", "original_start", "original_end", "search_start", "search_end"])
+
+
+HIT_ORDER = ("path", "original_start", "original_end")
+
+
+def present(hits: DataFrame, context: int) -> DataFrame:
+    """Hits with their stored context cut to what was asked for and long matches shown by their ends."""
+    width = F.lit(min(max(context, 0), STORED_CONTEXT))
+    return hits.withColumns({"left_context": F.right("left_context", width), "right_context": F.left("right_context", width), "shown": collapse_match(F.col("matched"))})
+
+
+def result_page(manifest: DataFrame, spec: SearchSpec, most_hits: int | None = 1000, most_documents: int | None = 1000) -> DataFrame:
+    """One page of a search as a reader sees it: hits in the order of path and place, without repetitions,
+    presented; beside each the totals of the search and whether it is complete.
+
+    manifest: doc_id, path, body and what the scope asks for. An interactive search has a budget: the first
+    ``most_documents`` documents of the scope by path are searched, and the first ``most_hits`` hits in them
+    count; it is complete if neither bound cut anything. Without bounds (None) the whole scope is searched.
+    spec.deduplicate keeps the first document of each exact body. A page without hits has no rows.
+    """
+    scope = in_scope(manifest, spec)
+    if spec.deduplicate:
+        scope = first_per_body(scope.withColumn("_print", F.sha2("body", 256)), "_print", "path").drop("_print")
+    wide = SearchSpec.from_dict({**spec.to_dict(), "context": max(spec.context, STORED_CONTEXT)})
+    chosen = scope if most_documents is None else scope.orderBy("path", "doc_id").limit(most_documents)
+    hits = distinct_hits(find_hits(chosen, wide)).join(chosen.select("doc_id", "path"), "doc_id")
+    cut_documents = F.lit(False) if most_documents is None else scope.agg((F.count("*") > most_documents).alias("x")).scalar()
+    order = [F.col(c) for c in (*HIT_ORDER, "doc_id")]
+    counted = hits.agg(F.count("*").alias("n"))
+    kept = hits if most_hits is None else hits.orderBy(*order).limit(most_hits)
+    rows = page_of(kept, order, spec.page, spec.per_page)
+    total = F.col("_n") if most_hits is None else F.least("_n", F.lit(most_hits))
+    complete = ~cut_documents if most_hits is None else ~cut_documents & (F.col("_n") < most_hits)
+    shown = present(rows, spec.context).withColumn("_n", counted.scalar())
+    return shown.withColumns({"total": total, "total_pages": F.greatest(F.ceil(total / spec.per_page), F.lit(1)), "complete": complete, "truncated": ~complete}).drop("_n")
 
 
 def page_of(rows: DataFrame, order: list[Column], page: int, per_page: int) -> DataFrame:

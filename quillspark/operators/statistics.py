@@ -14,8 +14,8 @@ from quillspark.functions.text import century_start, group_name
 DIMENSIONS = (("period", "period"), ("corpus_root", "corpus_root"), ("macro_region", "macro_region"), ("polity", "polity"), ("region", "region"), ("author", "author"), ("folder", "folder"), ("document_role", "document_role"))
 # Folder segments that name a layer of the corpus, left out of folder groups.
 LAYERS = ("clean", "raw", "variant", "variants", "translation", "translations", "annotation", "annotations", "kanbun", "hanmun", "hanvan")
-# The classes of hits per document, as (label, least, most).
-HISTOGRAM = (("0", 0, 0), ("1", 1, 1), ("2", 2, 2), ("3-5", 3, 5), ("6-10", 6, 10), ("11-25", 11, 25), ("26-100", 26, 100), ("101+", 101, 2**62))
+# The classes of hits per matching document, as (label, least, most).
+HISTOGRAM = (("1", 1, 1), ("2", 2, 2), ("3–5", 3, 5), ("6–10", 6, 10), ("11–20", 11, 20), ("21–50", 21, 50), ("51–100", 51, 100), ("101+", 101, 2**62))
 
 
 def rate(part: Column, whole: Column, scale: float) -> Column:
@@ -77,14 +77,16 @@ def usable_dimensions(tables: DataFrame) -> DataFrame:
 
 
 def histogram(documents: DataFrame) -> DataFrame:
-    """Documents per class of hits, empty classes too."""
+    """Matching documents per class of hits, empty classes too, with their share of the matching documents
+    (0 where nothing matches)."""
     spark = documents.sparkSession
     classes = spark.createDataFrame([(i, *c) for i, c in enumerate(HISTOGRAM)], "place int, bucket string, least bigint, most bigint")
     bucket = F.lit(HISTOGRAM[-1][0])
     for label, _, most in reversed(HISTOGRAM[:-1]):
         bucket = F.when(F.col("occurrences") <= most, label).otherwise(bucket)
-    counted = documents.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("documents"))
-    return F.broadcast(classes).join(counted, "bucket", "left").select("place", "bucket", F.coalesce("documents", F.lit(0)).alias("documents"))
+    counted = documents.where("occurrences > 0").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("documents"))
+    filled = F.broadcast(classes).join(counted, "bucket", "left").select("place", "bucket", F.coalesce("documents", F.lit(0)).alias("documents"))
+    return filled.withColumn("share", rate(F.col("documents"), F.sum("documents").over(Window.partitionBy()), 1.0))
 
 
 def top_documents(documents: DataFrame, limit: int = 100) -> DataFrame:
@@ -152,12 +154,32 @@ def keyness(counts: DataFrame) -> DataFrame:
 
 
 def dispersion(groups: DataFrame) -> DataFrame:
-    """groups (dimension, group, occurrences, searchable_characters) -> DP and DP_norm of each dimension
-    with at least two groups: half the summed distance between shares of hits and shares of text."""
+    """groups (dimension, group, occurrences, searchable_characters) -> DP, DP_norm and evenness of each
+    dimension with at least two groups: half the summed distance between shares of hits and shares of text,
+    divided by its greatest possible value and at most 1."""
     whole = Window.partitionBy("dimension")
     shares = groups.where("searchable_characters > 0").select("dimension", F.try_divide(F.col("occurrences"), F.sum("occurrences").over(whole)).alias("v"), (F.col("searchable_characters") / F.sum("searchable_characters").over(whole)).alias("s"))
-    out = shares.groupBy("dimension").agg(F.count("*").alias("groups"), (F.sum(F.abs(F.coalesce("v", F.lit(0.0)) - F.col("s"))) * 0.5).alias("dp"), F.min("s").alias("least"))
-    return out.where("groups > 1").select("dimension", "groups", "dp", F.try_divide(F.col("dp"), 1 - F.col("least")).alias("dp_norm"))
+    out = shares.groupBy("dimension").agg(F.count("*").alias("groups"), (F.sum(F.abs(F.col("v") - F.col("s"))) * 0.5).alias("dp"), F.min("s").alias("least"))
+    norm = F.when(F.col("least") < 1, F.least(F.col("dp") / (1 - F.col("least")), F.lit(1.0))).otherwise(F.lit(0.0))
+    return out.where("groups > 1 and dp is not null").select("dimension", "groups", "dp", norm.alias("dp_norm"), (1 - norm).alias("evenness"))
+
+
+def document_dispersion(documents: DataFrame) -> DataFrame:
+    """One row: DP over the documents with text, DP_norm (at most 1), evenness, and the range: the share of
+    documents that match. Two aggregates over the documents; no row meets another."""
+    one = documents.agg(
+        F.coalesce(F.sum("occurrences"), F.lit(0)).cast("double").alias("hits"),
+        F.coalesce(F.sum("searchable_characters"), F.lit(0)).cast("double").alias("size"),
+        F.count("*").alias("documents_in_scope"),
+        F.count_if(F.col("occurrences") > 0).alias("matching_documents"),
+        F.min(F.when(F.col("searchable_characters") > 0, F.col("searchable_characters"))).alias("least"),
+    )
+    totals = {c: one.select(c).scalar() for c in ("hits", "size")}
+    away = documents.where("searchable_characters > 0").withColumns(totals).agg((F.sum(F.abs(F.try_divide("occurrences", "hits") - F.try_divide("searchable_characters", "size"))) * 0.5).alias("dp"))
+    row = one.withColumn("dp", away.scalar())
+    most = 1 - F.col("least") / F.col("size")
+    norm = F.when(most > 0, F.least(F.col("dp") / most, F.lit(1.0)))
+    return row.select("dp", norm.alias("dp_norm"), (1 - norm).alias("evenness"), rate(F.col("matching_documents"), F.col("documents_in_scope"), 1.0).alias("document_range"), "matching_documents", "documents_in_scope")
 
 
 def duplicate_groups(documents: DataFrame) -> DataFrame:

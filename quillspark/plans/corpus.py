@@ -170,6 +170,14 @@ def m7_regex_hits(spark: SparkSession, root: str) -> DataFrame:
     return hits.groupBy("doc_id", normalised(F.col("matched")).alias("matched")).agg(F.count("*").alias("n"))
 
 
+@query(rf"select doc_id, m as matched, count(*) n from (select doc_id, unnest(regexp_extract_all({NORM}, '[0-9\p{{Nd}}]+')) m from documents) group by 1, 2")
+def m7_regex_digits(spark: SparkSession, root: str) -> DataFrame:
+    """Runs of decimal digits of any script: a pattern that Java and Python read differently, so no document
+    is ruled out before the match."""
+    hits = search.find_hits(bodies(spark, root), SearchSpec((r"\d+",), mode="regex"))
+    return hits.groupBy("doc_id", normalised(F.col("matched")).alias("matched")).agg(F.count("*").alias("n"))
+
+
 @query(
     f"""with n as (select doc_id, {NORM} s from documents),
     h as (select doc_id, i, t, k from n, unnest(range(1, length(s))) u(i), (values (0, '是以'), (1, '以是'), (2, '是以')) v(k, t) where s[i:i + 1] = t)
@@ -302,6 +310,33 @@ def o2_page(spark: SparkSession, root: str) -> DataFrame:
     return search.page_of(counted, [F.desc("occurrences"), F.asc("doc_id")], 2, 20)
 
 
+_PAGE_SQL = (
+    _HIT_SQL.replace("@term", _TERM).replace("from documents)", "from (select * from documents order by doc_id @documents))")
+    + ", ranked as (select doc_id, (o[ss + 1] - 1)::int original_start, o[ss + 3]::int original_end, text[o[ss + 1]:o[ss + 3]] matched, text[greatest(o[ss + 1] - 5, 1):o[ss + 1] - 1] left_context, text[o[ss + 3] + 1:o[ss + 3] + 5] right_context from hits "
+    "order by doc_id, original_start limit @hits), "
+    "t as (select least(count(*), @hits) total, count(*) < @hits and (select count(*) from documents) <= @scanned complete from hits) "
+    "select r.*, total, greatest(ceil(total / 20), 1)::bigint total_pages, complete, not complete truncated from (select * from ranked order by doc_id, original_start limit 20 offset 20) r, t"
+)
+
+
+def _page(spark: SparkSession, root: str, **bounds) -> DataFrame:
+    scope = bodies(spark, root).select("doc_id", F.format_string("%012d", "doc_id").alias("path"), "body", F.lit("canonical").alias("document_role"), F.lit(None).cast("int").alias("year_start"), F.lit(None).cast("int").alias("year_end"))
+    page = search.result_page(scope, SearchSpec((_TERM,), context=5, page=2, per_page=20), **bounds)
+    return page.select("doc_id", "original_start", "original_end", "matched", "left_context", "right_context", "total", "total_pages", "complete", "truncated")
+
+
+@query(_PAGE_SQL.replace("@documents", "limit 1000").replace("@hits", "1000").replace("@scanned", "1000"))
+def o3_interactive_page(spark: SparkSession, root: str) -> DataFrame:
+    """The second page of an interactive search within its budget of documents and hits."""
+    return _page(spark, root)
+
+
+@query(_PAGE_SQL.replace("@documents", "").replace("limit @hits", "").replace("least(count(*), @hits)", "count(*)").replace("count(*) < @hits and (select count(*) from documents) <= @scanned", "true"))
+def o1_full_page(spark: SparkSession, root: str) -> DataFrame:
+    """The second page of the whole search, hits in the order of path and place."""
+    return _page(spark, root, most_hits=None, most_documents=None)
+
+
 # --- indexes -------------------------------------------------------------------------------------------
 
 

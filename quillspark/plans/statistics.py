@@ -76,8 +76,9 @@ def a4_usable_dimensions(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    f"""with {LATEST}, c(place, bucket, least, most) as (values {', '.join(f"({i}, '{a}', {b}, {min(c, 2**60)})" for i, (a, b, c) in enumerate(stats.HISTOGRAM))})
-    select place::int place, bucket, count(occurrences) documents from c left join latest on occurrences between least and most group by 1, 2"""
+    f"""with {LATEST}, c(place, bucket, least, most) as (values (0, '1', 1, 1), (1, '2', 2, 2), (2, '3–5', 3, 5), (3, '6–10', 6, 10), (4, '11–20', 11, 20), (5, '21–50', 21, 50), (6, '51–100', 51, 100), (7, '101+', 101, 1e18::bigint)),
+    n as (select place::int place, bucket, count(occurrences) documents from c left join latest on occurrences between least and most group by 1, 2)
+    select place, bucket, documents, documents / greatest((select count(*) from latest where occurrences > 0), 1) share from n"""
 )
 def a7_histogram(spark: SparkSession, root: str) -> DataFrame:
     return stats.histogram(manifest(spark, root))
@@ -145,14 +146,26 @@ def a19_keyness(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    f"""with {LATEST}, {_DIMS}, s as (select dimension, occurrences / nullif(sum(occurrences) over (partition by dimension), 0) v, searchable_characters / sum(searchable_characters) over (partition by dimension) s from tables where searchable_characters > 0)
-    select dimension, count(*) groups, 0.5 * sum(abs(coalesce(v, 0) - s)) dp, 0.5 * sum(abs(coalesce(v, 0) - s)) / nullif(1 - min(s), 0) dp_norm from s group by 1 having count(*) > 1"""
+    f"""with {LATEST}, {_DIMS}, s as (select dimension, occurrences / nullif(sum(occurrences) over (partition by dimension), 0) v, searchable_characters / sum(searchable_characters) over (partition by dimension) s from tables where searchable_characters > 0),
+    d as (select dimension, count(*) groups, 0.5 * sum(abs(v - s)) dp, 1 - min(s) most from s group by 1 having count(*) > 1), n as (select dimension, groups, dp, case when most > 0 then least(dp / most, 1.0) else 0.0 end dp_norm from d where dp is not null)
+    select *, 1 - dp_norm evenness from n"""
 )
-def a20_dispersion(spark: SparkSession, root: str) -> DataFrame:
-    """DP and normalised DP of each dimension."""
+def a21_dimension_dispersion(spark: SparkSession, root: str) -> DataFrame:
+    """DP, normalised DP and evenness of each dimension."""
     return stats.dispersion(stats.by_dimension(manifest(spark, root)))
 
 
+@query(
+    f"""with {LATEST}, t as (select sum(occurrences)::double o, sum(searchable_characters)::double n, count(*) documents_in_scope, count(*) filter (where occurrences > 0) matching_documents from latest),
+    d as (select 0.5 * sum(abs(occurrences / o - searchable_characters / n)) dp, 1 - min(searchable_characters / n) most from latest, t where searchable_characters > 0),
+    v as (select dp, case when most > 0 then least(dp / most, 1.0) end dp_norm from d)
+    select dp, dp_norm, 1 - dp_norm evenness, matching_documents / documents_in_scope document_range, matching_documents, documents_in_scope from v, t"""
+)
+def a20_dispersion(spark: SparkSession, root: str) -> DataFrame:
+    """DP over documents, normalised and capped at 1, with the range."""
+    return stats.document_dispersion(manifest(spark, root))
+
+
 @query(
     f"""with {LATEST} select body_fingerprint, count(*) members, sum(occurrences)::bigint occurrences, min(document_id) first_id, max(occurrences) > 0 query_affecting from latest where coalesce(body_fingerprint, '') <> '' group by 1 having count(*) > 1"""
 )

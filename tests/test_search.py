@@ -102,12 +102,55 @@ def test_equivalence_alternatives_and_proximity(manifest):
     assert [h[1] for h in hits(manifest, ["[民君]"], mode="regex")] == ["君", "民", "民", "君"]
 
 
-def test_spec_clamps_and_round_trips():
-    spec = SearchSpec(("a" * 200,), span=99_999, context=900, per_page=0, page=-3)
-    assert (len(spec.terms[0]), spec.span, spec.context, spec.per_page, spec.page) == (80, 5000, 200, 1, 1)
-    assert SearchSpec(**spec.to_dict()) == spec
-    with pytest.raises(ValueError):
-        SearchSpec(("a",), mode="none")
+def test_spec_clamps_refuses_and_round_trips():
+    spec = SearchSpec(("a" * 80,), span=99_999, context=900, per_page=0, page=-3, roles=("nobody",), folders=("/x/y/", " "))
+    assert (spec.span, spec.context, spec.per_page, spec.page, spec.roles, spec.folders) == (5000, 500, 1, 1, ("canonical",), ("x/y",))
+    assert SearchSpec.from_dict(spec.to_dict()) == spec
+    assert spec.cache_key() == SearchSpec.from_dict({**spec.to_dict(), "page": 7, "context": 3}).cache_key() != SearchSpec(("a",)).cache_key()
+    refused = [("a" * 81,), (), ("a", "b"), (" ",)]
+    for terms in refused:
+        with pytest.raises(ValueError):
+            SearchSpec(terms)
+    for terms, mode in ((("a",), "none"), (("a",), "or"), (tuple("abcdefghijk"), "or"), (("a",), "proximity"), (("a" * 1001,), "regex"), (("(",), "regex"), (("",), "regex")):
+        with pytest.raises(ValueError):
+            SearchSpec(terms, mode=mode)
+    assert len(SearchSpec(tuple("abcdefghij"), mode="or").terms) == 10
+
+
+def test_patterns_that_engines_read_differently(spark):
+    texts = [(1, "第12章"), (2, "第１２章"), (3, "ab_é"), (4, ""), (5, None), (6, "a\u2028b")]
+    df = spark.createDataFrame(texts, "doc_id bigint, body string")
+    for pattern in (r"\d+", r"\w+", r"\bb", "(?i)A", "[一二]+", "a.b", "é{1,2}|章"):
+        spec = SearchSpec((pattern,), mode="regex", punctuation="respect")
+        got = sorted((r.doc_id, r.search_start, r.search_end) for r in search.find_hits(df, spec).collect())
+        assert got == sorted((i, *m.span()) for i, t in texts if t for m in re.finditer(pattern, t)), pattern
+    assert search.read_alike("[一二三]+年(甲|乙)?x{1,2}")
+    assert not any(map(search.read_alike, (r"\d", "a.b", "^a", "a$", "(?:a)", "[a&&b]", "a*+", "a{", "")))
+    with pytest.raises(TimeoutError):
+        search.regex_spans("(a|aa)+$", "a" * 60 + "b", 0.05)
+
+
+def test_offsets_by_runs():
+    ignored = search.ignored_runs()
+    for body in ("", "，", "a", "，a，b。。c", "a\u200bb　c", "𠀀，𠀀"):
+        stream, starts, shifts = search.without_ignored(body, ignored)
+        kept = [i for i, c in enumerate(body) if not ignored.fullmatch(c)]
+        assert stream == "".join(body[i] for i in kept)
+        assert [i + shifts[search.bisect_right(starts, i) - 1] for i in range(len(stream))] == kept
+
+
+def test_result_page(manifest):
+    scope = manifest.select("*").where("body <> ''")
+    page = search.result_page(scope, SearchSpec(("[民君]",), mode="regex", per_page=3, context=1))
+    rows = page.collect()
+    assert [(r.path[-11:], r.matched, r.left_context, r.right_context) for r in rows] == [("natives.txt", "君", "", "子"), ("epeated.txt", "民", "", "與"), ("epeated.txt", "民", "與", "共")]
+    assert {(r.total, r.total_pages, r.complete, r.truncated) for r in rows} == {(4, 2, True, False)}
+    short = search.result_page(scope, SearchSpec(("[民君]",), mode="regex"), most_hits=2).collect()
+    assert len(short) == 2 and {(r.total, r.complete, r.truncated) for r in short} == {(2, False, True)}
+    few = search.result_page(scope, SearchSpec(("[民君]",), mode="regex"), most_documents=2).collect()
+    assert {r.complete for r in few} == {False}
+    every = search.result_page(scope, SearchSpec(("關關雎鳩",), roles=("canonical", "raw", "textual_variant"), deduplicate=True), most_hits=None, most_documents=None).collect()
+    assert len(every) == 2
 
 
 def test_header_and_empty_bodies(manifest):
