@@ -1,4 +1,8 @@
+import math
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import matching, names, variants
 
@@ -61,7 +65,7 @@ def test_match_sources(spark):
     df = spark.createDataFrame(rows, PEOPLE)
     found = matching.match_sources(df).collect()
     assert sorted((r.person_no_a, r.person_no_b) for r in found) == [(1, 2), (1, 3), (2, 3), (4, 6), (12, 13)]
-    assert all(0 < r.confidence < 1 for r in found)
+    assert all(matching.LEAST <= r.confidence <= 1 and abs(1 / (1 + math.exp(-r.strength)) - r.confidence) < 1e-9 for r in found)
     assert matching.match_sources(df.limit(0)).count() == 0
 
 
@@ -106,30 +110,53 @@ def test_link_mentions(spark):
     assert links(spark, [], persons) == {} == links(spark, mentions, [])
 
 
-def test_blocking_recall_against_brute_force(spark, reader):
+def pairs_of(people):
+    return {(r.person_no_a, r.person_no_b) for r in matching.match_sources(people).collect()}
+
+
+@pytest.fixture(scope="module")
+def people(spark):
     from pathlib import Path
-    from types import SimpleNamespace
 
     path = "/root/testdata/sf0.01/people.parquet"
     if not Path(path).exists():
         pytest.skip("no test data")
-    people = spark.read.parquet(path)
-    rows = people.dropDuplicates(["person_no"]).collect()
-    names = ["person_no", "source", "han", "sounds", "bynames", "cites", "polity", "year_start", "year_end", "places", "tokens"]
-    records = [SimpleNamespace(**dict(zip(names, matching.features(reader, r)))) for r in rows]
-    best: dict = {}
-    accepted = {}
-    for i, a in enumerate(records):
-        for b in records[:i]:
-            if a.source != b.source:
-                one, strength = matching.judge(a, b)
-                if one:
-                    accepted[a.person_no, b.person_no] = strength
-                    for x, y in ((a, b), (b, a)):
-                        best[x.person_no, y.source] = max(best.get((x.person_no, y.source), -99), strength)
-    source = {r.person_no: r.source for r in records}
-    wanted = {(min(a, b), max(a, b)) for (a, b), s in accepted.items() if best[a, source[b]] == s and best[b, source[a]] == s}
-    found = {(r.person_no_a, r.person_no_b) for r in matching.match_sources(people).collect()}
-    assert len(wanted) > 50
+    return spark.read.parquet(path)
+
+
+def test_blocking_recall_against_all_pairs(people, monkeypatch):
+    found = pairs_of(people)
+
+    def every(known, tables, trained):
+        one = known.select("person_no", "source")
+        b = one.withColumnsRenamed({"person_no": "b", "source": "of_b"})
+        return one.withColumnsRenamed({"person_no": "a", "source": "of_a"}).join(b, (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b"))).select("a", "b")
+
+    monkeypatch.setattr(matching, "candidate_pairs", every)
+    wanted = pairs_of(people)
+    assert len(wanted) > 100
     assert len(found & wanted) / len(wanted) >= 0.97
     assert len(found - wanted) <= 0.05 * len(found)
+
+
+def test_matches_come_from_the_trained_vectors(people, monkeypatch):
+    found = pairs_of(people)
+    monkeypatch.setattr(matching, "train_tokens", lambda tokens, seed=5: np.zeros((matching.BUCKETS, matching.SIZE), dtype=np.float32))
+    assert len(pairs_of(people) & found) < 0.5 * len(found)
+
+
+def test_mixture_finds_the_classes_without_labels():
+    rng = np.random.default_rng(2)
+    one = rng.random(20_000) < 0.3
+    shares = {"name": ([0, 0, 0, 0, 0, 0, 0.1, 0.9], [0.4, 0.3, 0.2, 0.05, 0.03, 0.01, 0, 0.01]), "cites": ([0.2, 0.1, 0.4, 0.3], [0.2, 0.7, 0.1, 0]), "polity": ([0.5, 0.5], [0.5, 0.5]), "place": ([0.6, 0.1, 0.3], [0.6, 0.39, 0.01])}
+    columns = [np.where(one, *(rng.choice(len(s), 20_000, p=s) for s in shares[f])) if f in shares else np.zeros(20_000, dtype=int) for f in matching.EXPECTED]
+    patterns, at, counts = np.unique(np.stack(columns, axis=1), axis=0, return_inverse=True, return_counts=True)
+    start, weights = matching.fit_mixture(patterns, counts.astype(float))
+    odds = start + sum(weights[f][patterns[:, k]] for k, f in enumerate(matching.EXPECTED))
+    p = (1 / (1 + np.exp(-odds)))[at.ravel()]
+    assert abs(p.mean() - one.mean()) < 0.02
+    assert ((p > 0.5) == one).mean() > 0.98
+    # Confidences are shares: of the pairs given about this confidence, so many mean one person.
+    for low, high in ((0, 0.1), (0.9, 1.01)):
+        chosen = (p >= low) & (p < high)
+        assert abs(one[chosen].mean() - p[chosen].mean()) < 0.03
