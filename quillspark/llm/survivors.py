@@ -2,9 +2,14 @@
 
 Field by field, the values of a group are aligned token by token, progressively: the heaviest value starts
 the profile, each further one is aligned to it and adds its weight to the tokens of its columns. Each column
-elects its heaviest token (or none), and the existing value closest to that consensus is emitted. The
-surviving record is the one that the exact order (completeness, trust, recency) puts first; where that
-order leaves a tie, the record closest to the consensus of all fields survives.
+elects its heaviest token (or none), and the existing value closest to that consensus is emitted.
+
+How much a record weighs is what its group says of it: (n + 1) ** k in a group of n records, k counting where
+it is best of the group: most complete, most trusted, most recent. A record that is best in all three so
+outvotes all others together. The role and the time of a record are voted on like its fields. The surviving
+record is the one closest to the consensus of all of them. Where one record is best in all three and every
+other is worse in one, that record survives: the consensus says what it says, it lacks the fewest values, and
+each other record lacks more or differs in trust or time.
 """
 
 from __future__ import annotations
@@ -143,9 +148,14 @@ def field_consensus(values: DataFrame) -> DataFrame:
     return parts.select("group_id", "field", "consensus")
 
 
-@F.pandas_udf(T.IntegerType())
+@F.pandas_udf(T.DoubleType())
 def _token_distance(value: pd.Series, elected: pd.Series) -> pd.Series:
-    return pd.Series([distance(tokens(v), list(c)) for v, c in zip(value, elected)], dtype="int32")
+    """Token edits between a value and the consensus as a share of the longer one: 0 the same, 1 all other."""
+    out = []
+    for v, c in zip(value, elected):
+        own, other = tokens(v), list(c)
+        out.append(distance(own, other) / max(len(own), len(other), 1))
+    return pd.Series(out, dtype="float64")
 
 
 def best_representatives(members: DataFrame, fields: list[str], trusted: Column, recent: Column) -> DataFrame:
@@ -157,43 +167,41 @@ def best_representatives(members: DataFrame, fields: list[str], trusted: Column,
     value closest to the token consensus. Groups of one member are left out.
 
     Defined cases: null group_id or member_id: the row is left out; nulls, blanks and words for unknown are
-    no values (a group without any value has an empty map); full ties go to the smaller member_id; groups
-    of any size: values are counted and aligned in parts, the survivor is a map-side combined minimum;
-    extra columns are ignored, clashing names too, as all but the fields are renamed.
+    no values (a group without any value has an empty map) and lie as far from a consensus as can be; records
+    equally close to the consensus: the smaller member_id survives; groups of any size: values are counted and
+    aligned in parts, the survivor is a map-side combined minimum; extra columns are ignored, clashing names
+    too, as all but the fields are renamed.
     """
     said = [F.when(says_something(F.col(f)), F.trim(F.col(f).cast("string"))).alias(f) for f in fields]
     rows = members.where("group_id is not null and member_id is not null").select(
-        F.col("group_id").cast("string").alias("group_id"), F.col("member_id").cast("string").alias("member_id"), trusted.cast("int").alias("_trusted"), recent.alias("_recent"), *said
+        F.col("group_id").cast("string").alias("group_id"), F.col("member_id").cast("string").alias("member_id"), F.coalesce(trusted.cast("int"), F.lit(0)).alias("_trusted"), recent.alias("_recent"), *said
     )
     names = ["_recent", "_trusted", *fields]
     latest = rows.groupBy("group_id", "member_id").agg(F.max(F.struct(*names)).alias("r")).select("group_id", "member_id", *[F.col(f"r.{n}").alias(n) for n in names])
-    several = latest.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
     known = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
-    kept = cut(latest.join(several, "group_id").withColumn("completeness", known))
+    latest = latest.withColumn("completeness", known)
+    tops = latest.groupBy("group_id").agg(F.count("*").alias("_n"), F.max("completeness").alias("_c"), F.max("_trusted").alias("_t"), F.max("_recent").alias("_r")).where("_n > 1")
+    best_in = sum((F.coalesce(F.col(x) == F.col(y), F.lit(False)).cast("int") for x, y in (("completeness", "_c"), ("_trusted", "_t"), ("_recent", "_r"))), F.lit(0))
+    kept = cut(latest.join(tops, "group_id").withColumn("weight", F.pow(F.col("_n") + 1.0, best_in)).drop("_n", "_c", "_t", "_r"))
 
-    pairs = kept.select("group_id", "member_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("x"), (F.lit(1.0) + F.coalesce("_trusted", F.lit(0))).alias("weight"))
+    voted = [(f, F.col(f)) for f in fields] + [("_trusted", F.col("_trusted").cast("string")), ("_recent", F.col("_recent").cast("string"))]
+    pairs = kept.select("group_id", "member_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c.alias("value")) for f, c in voted])).alias("x"), "weight")
     pairs = pairs.select("group_id", "member_id", "x.field", "x.value", "weight").where("value is not null")
     values = pairs.groupBy("group_id", "field", "value").agg(F.sum("weight").alias("weight"))
     far = cut(values.join(field_consensus(values), ["group_id", "field"]).withColumn("far", _token_distance("value", "consensus")).select("group_id", "field", "value", "weight", "far"))
     best = (
-        far.groupBy("group_id", "field")
+        far.where(F.col("field").isin(*fields))
+        .groupBy("group_id", "field")
         .agg(F.min(F.struct("far", (-F.col("weight")).alias("w"), "value")).alias("b"))
         .groupBy("group_id")
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.col("b.value").alias("value"))))).alias("best"))
     )
-    closeness = pairs.join(far.select("group_id", "field", "value", "far"), ["group_id", "field", "value"]).groupBy("group_id", "member_id").agg(F.sum("far").alias("far"))
-    ranked = kept.join(closeness, ["group_id", "member_id"], "left")
-    order = F.struct(
-        (-F.col("completeness")).alias("a"),
-        (-F.coalesce("_trusted", F.lit(0))).alias("b"),
-        (-F.coalesce(F.unix_micros(F.col("_recent").cast("timestamp")), F.lit(-(2**62)))).alias("c"),
-        F.coalesce("far", F.lit(0)).alias("d"),
-        F.col("member_id").alias("survivor_id"),
-    )
-    survivors = ranked.groupBy("group_id").agg(F.min(order).alias("s")).select("group_id", F.col("s.survivor_id").alias("survivor_id"))
+    # What a record does not say is 1 away; fields that nobody in the group fills are so for all.
+    closeness = pairs.join(far.select("group_id", "field", "value", "far"), ["group_id", "field", "value"]).groupBy("group_id", "member_id").agg(F.round(F.sum(F.col("far") - 1), 9).alias("far"))
+    survivors = closeness.groupBy("group_id").agg(F.min(F.struct("far", "member_id")).alias("s")).select("group_id", F.col("s.member_id").alias("survivor_id"))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     return (
-        ranked.select("group_id", "member_id", "completeness")
+        kept.select("group_id", "member_id", "completeness")
         .join(survivors, "group_id")
         .join(best, "group_id", "left")
         .select("group_id", "member_id", "survivor_id", "completeness", F.coalesce("best", empty).alias("best"))

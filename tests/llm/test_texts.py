@@ -159,7 +159,7 @@ def test_survivor_order(spark):
         (None, "q", "x", 1, "raw", 1), (None, "r", "x", 1, "raw", 1), ("e", "a", None, None, "raw", 1), ("e", "b", " ", None, "raw", 1),
     ]
     got = best(spark, rows)
-    assert {k: v[0] for k, v in got.items()} == {("g", "a"): "b", ("g", "b"): "b", ("g", "c"): "b", ("h", "a"): "b", ("h", "b"): "b", ("i", "a"): "b", ("i", "b"): "b", ("e", "a"): "a", ("e", "b"): "a"}
+    assert {k: v[0] for k, v in got.items()} == {("g", "a"): "a", ("g", "b"): "a", ("g", "c"): "a", ("h", "a"): "b", ("h", "b"): "b", ("i", "a"): "b", ("i", "b"): "b", ("e", "a"): "a", ("e", "b"): "a"}
     assert got["g", "a"][1] == {"author": "李白", "year": "5"}
     assert got["e", "a"][1] == {}
 
@@ -174,6 +174,23 @@ def test_consensus_breaks_ties_and_picks_values(spark, monkeypatch):
     assert best(spark, rows)["g", "m0"] == ("m0", {"author": "Wang Wei", "year": "1"})
 
 
+def test_survivors_come_from_the_consensus(spark, monkeypatch):
+    rng = random.Random(4)
+    rows, wanted = [], {}
+    for g in range(30):
+        names = rng.sample(["Wang Wei", "Wang Wei of Taiyuan", "Wang Mojie", "Wang W", "Wei"], 4)
+        top = rng.randrange(4)
+        for i, n in enumerate(names):
+            worse = rng.randrange(3)
+            rows.append((f"g{g}", f"m{i}", n if i == top or worse != 0 else None, 7, "canonical" if i == top or worse != 1 else "raw", 9 if i == top or worse != 2 else rng.randrange(9)))
+        wanted[f"g{g}"] = f"m{top}"
+    assert {g: s for (g, _), (s, _) in best(spark, rows).items()} == wanted
+    # Without the consensus the survivors are lost.
+    monkeypatch.setattr(survivors, "_token_distance", lambda value, consensus: survivors.F.lit(0.0))
+    blind = {g: s for (g, _), (s, _) in best(spark, rows).items()}
+    assert sum(blind[g] == wanted[g] for g in wanted) < 0.8 * len(wanted)
+
+
 def test_alignment():
     profile = survivors.progressive([("a b c", 2.0), ("a c", 1.0), ("a b d c", 1.0)])
     assert survivors.consensus(profile) == ["a", "b", "c"]
