@@ -1,6 +1,9 @@
 import datetime as dt
+import itertools
 import random
 
+import pytest
+
 from quillspark.operators import hierarchy, packed
 from quillspark.operators.hierarchy import resolve_hierarchy
 from quillspark.operators.packed import automaton, known_whole_values, split_packed, unpack
@@ -56,20 +59,51 @@ def test_split_protects_quotes_and_brackets():
 
 
 def test_dictionary_protects_unquoted_values():
-    machine = automaton(["提刑, 兼轉運", "兼轉運, 僧", "plain"])
+    machine = automaton([(v, ["f"]) for v in ("提刑, 兼轉運", "兼轉運, 僧", "plain")])
     assert split_packed("a, 提刑, 兼轉運,b", machine) == ["a", "提刑, 兼轉運", "b"]
-    assert split_packed("提刑, 兼轉運, 僧", machine) == ["提刑, 兼轉運", "僧"] or split_packed("提刑, 兼轉運, 僧", machine) == ["提刑", "兼轉運, 僧"]
+    assert split_packed("a, 提刑, 兼轉運,b", machine, "g") == ["a", "提刑", "兼轉運", "b"]
+    assert split_packed("提刑, 兼轉運, 僧", machine) == ["提刑", "兼轉運, 僧"]
     assert split_packed("x提刑, 兼轉運", machine) == ["x提刑", "兼轉運"]
-
-
-def test_unpack_with_learned_dictionary(spark):
-    rows = [("t", n, "f", '"a, b"; c', 1) for n in range(5)] + [("t", 9, "f", "a, b|d", 1), ("t", 10, "f", None, 1), ("t", 11, "f", "", 1)]
+    assert automaton([]) is None
+
+
+def test_best_cover_like_brute_force():
+    import itertools
+    import random
+
+    rng = random.Random(8)
+    for _ in range(300):
+        pieces = [rng.choice("abc") for _ in range(rng.randrange(1, 7))]
+        known = {", ".join(rng.choice("abc") for _ in range(rng.randrange(2, 4))) for _ in range(4)}
+        got = split_packed(", ".join(pieces), automaton([(k, ["f"]) for k in known]))
+        covers = []
+        for cuts in itertools.product((0, 1), repeat=len(pieces) - 1):
+            groups = [[pieces[0]]]
+            for p, c in zip(pieces[1:], cuts):
+                if c:
+                    groups.append([p])
+                else:
+                    groups[-1].append(p)
+            cover = [", ".join(g) for g in groups]
+            if all(len(g) == 1 or c in known for g, c in zip(groups, cover)):
+                covers.append(cover)
+        assert got in covers and len(got) == min(map(len, covers))
+
+
+@pytest.mark.parametrize("part", [200_000, 1])
+def test_unpack_with_learned_dictionary(spark, monkeypatch, part):
+    monkeypatch.setattr(packed, "PART", part)
+    rows = [("t", n, "f", '"a, b"; c; x（d、e）', 1) for n in range(3)] + [("t", 9, "f", "a, b|d", 1), ("t", 10, "f", None, 1), ("t", 11, "f", "", 1), ("t", 12, "f", '"g, h"', 1), ("t", 13, "f", "g, h", 1), ("t", 14, "other", "a, b", 1)]
+    rows += [("t", 20 + n, "f", '"k; l"', 1) for n in range(3)] + [("t", 30, "f", "m,k; l ,a, b", 1)]
     fields = spark.createDataFrame(rows, "table_name string, row_no bigint, field_name string, text string, pos int")
     known = known_whole_values(fields)
-    assert known == ["a, b"]
-    got = {(r.row_no, r.pos, r.value) for r in unpack(fields, known).collect()}
-    assert got == {(n, 0, "a, b") for n in (0, 1, 2, 3, 4, 9)} | {(n, 1, "c") for n in range(5)} | {(9, 1, "d")}
-    assert unpack(fields.limit(0), []).count() == 0
+    assert {(r.value, *r.fields) for r in known.collect()} == {("a, b", "f"), ("x（d、e）", "f"), ("k; l", "f")}
+    values = lambda df: {i: [v for _, v in sorted((r.pos, r.value) for r in rows)] for i, rows in itertools.groupby(sorted(df.collect(), key=lambda r: r.row_no), lambda r: r.row_no)}
+    got = values(unpack(fields, known))
+    assert got == {n: ["a, b", "c", "x（d、e）"] for n in range(3)} | {9: ["a, b", "d"], 12: ["g, h"], 13: ["g", "h"], 14: ["a", "b"]} | {20 + n: ["k; l"] for n in range(3)} | {30: ["m", "k; l", "a, b"]}
+    # Without the dictionary the values typed without quotes fall apart.
+    assert {n for n, v in values(unpack(fields, known.limit(0))).items() if v != got[n]} == {9, 30}
+    assert unpack(fields.limit(0), known.limit(0)).count() == 0
 
 
 def brute(links):
