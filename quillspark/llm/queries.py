@@ -97,13 +97,16 @@ def p10_reasons(spark: SparkSession, root: str) -> DataFrame:
     return spam.find_spam(table(spark, root, "documents")).groupBy("language", "reason").agg(F.count("*").alias("documents"))
 
 
-def _variants(spark: SparkSession, root: str) -> DataFrame:
+def _mentions(spark: SparkSession, root: str) -> DataFrame:
     works = table(spark, root, "works").select("work_key", "polity", "year_start", "year_end").dropDuplicates(["work_key"])
     named = table(spark, root, "work_people").dropDuplicates(["mention_no"]).join(works, "work_key", "left")
-    mentions = named.select("mention_no", F.col("display_name").alias("text"), "polity", F.coalesce("year_start", "year_end").alias("year"))
+    return named.select("mention_no", F.col("display_name").alias("text"), "polity", F.coalesce("year_start", "year_end").alias("year"))
+
+
+def _variants(spark: SparkSession, root: str) -> DataFrame:
     people = table(spark, root, "people").where("source = 'fanya_supplementary'")
     persons = people.select("person_no", F.coalesce("name_han", "label").alias("name"), F.col("aliases").alias("other_names"), "polity", "year_start", "year_end")
-    return variants.link_mentions(mentions, persons)
+    return variants.link_mentions(_mentions(spark, root), persons)
 
 
 @query
@@ -120,6 +123,12 @@ def p6_links(spark: SparkSession, root: str) -> DataFrame:
     return _variants(spark, root)
 
 
+@query
+def p6_outside(spark: SparkSession, root: str) -> DataFrame:
+    """Mentions of people outside the register, gathered under the first that spells out the name."""
+    return variants.outside_register(_mentions(spark, root), _variants(spark, root))
+
+
 @query
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return matching.match_sources(table(spark, root, "people")).select("person_no_a", "person_no_b")

@@ -2,9 +2,10 @@
 
 Merge-and-rematch resolution: every person starts as a profile of spellings, in characters, in sound, as
 initials and as near misses of the typed letters. Mentions that share a spelling key with a profile of a
-fitting polity are checked exactly (spelling and time); a mention that fits one person best is merged, its
-spellings and by-names join the profile, and what the profile gained enters blocking again, until a round
-merges nothing. Initials and slips are compared with names and merged spellings, not with by-names.
+fitting polity are checked exactly (spelling and time); a mention that fits one person best is merged: its
+spellings, by-names and their initials join the profile, and what the profile gained enters blocking again,
+until a round merges nothing. Mentions that mean nobody in the register are resolved among themselves the
+same way: ``outside_register`` takes each name spelled out among them as a profile that the others may join.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.names import Reader, han_tables, plain, wade_giles
@@ -24,6 +25,8 @@ _BEFORE = ("故", "臣", "释", "僧", "题", "旧题")
 _AFTER = ("撰并书", "并书", "等编", "等撰", "等辑", "先生", "等", "编", "撰", "注", "辑", "译", "校", "著", "述", "纂", "公", "氏")
 _STYLE = ("斋", "轩", "堂主", "居士", "老人", "山人", "散人", "道人", "主人")
 _EXACT, _BYNAME, _SOUND, _SWAPPED, _INITIALS, _TYPO = 6, 5, 4, 3, 2, 1
+#: A studio name with another ending counts like a swapped name.
+_STUDIO = _SWAPPED
 #: How far outside a known life a work's year may lie if the polity fits, by agreement; half if that is unknown.
 _WITHIN = {_EXACT: 110, _BYNAME: 110, _SOUND: 90, _SWAPPED: 90, _INITIALS: 60, _TYPO: 75}
 
@@ -39,6 +42,14 @@ def bare_han(han: str) -> str:
     return han
 
 
+def stem(text: str) -> str:
+    """A studio name without its ending."""
+    for ending in _STYLE:
+        if text.endswith(ending) and len(text) - len(ending) >= 2:
+            return text[: -len(ending)]
+    return text
+
+
 def undoubled(text: str) -> str:
     """The text with characters repeated in a row typed once."""
     return "".join(c for i, c in enumerate(text) if not i or c != text[i - 1])
@@ -73,7 +84,7 @@ def keys_of(reader: Reader, han: list[str], bynames: list[str], sounds: list[str
         keys |= {f"h:{h}", f"k:{reader.key_of(h)}", f"m:{surname}{''.join(sorted(given))}", f"u:{undoubled(h)}", "i:{}|{}".format(*reader.initials_of(h))}
         for letters in letters_of(reader, h):
             keys |= {f"d:{x}" for x in near(letters)}
-    keys |= {f"h:{b}" for b in bynames} | {f"k:{reader.key_of(b)}" for b in bynames} | {f"k:{s}" for s in sounds}
+    keys |= {f"h:{b}" for b in bynames} | {f"k:{reader.key_of(b)}" for b in bynames} | {f"k:{s}" for s in sounds} | {f"s:{stem(b)}" for b in bynames}
     return sorted(keys)
 
 
@@ -98,6 +109,8 @@ def mention_keys(reader: Reader, m: dict) -> list[str]:
     if m["han"]:
         surname, given = reader.surname_of(m["han"]), m["han"][len(reader.surname_of(m["han"])) :]
         keys |= {f"h:{m['han']}", f"m:{surname}{''.join(sorted(given))}", f"u:{undoubled(m['han'])}"}
+        if stem(m["han"]) != m["han"]:
+            keys.add(f"s:{stem(m['han'])}")
     if m["initials"]:
         keys.add(f"i:{m['initials']}")
     return sorted(keys)
@@ -112,6 +125,8 @@ def agreement(reader: Reader, m: dict, names: list[str], bynames: set[str]) -> i
                 return _EXACT
             if m["han"] in bynames:
                 best = max(best, _BYNAME)
+            elif stem(m["han"]) != m["han"] and any(stem(m["han"]) == stem(b) for b in bynames):
+                best = max(best, _STUDIO)
             for part in m["parts"]:
                 rest = m["han"].replace(part, "", 1)
                 if part == h and (rest in bynames or rest in _BEFORE or rest in _AFTER or rest.endswith(_STYLE) or reader.is_polity(rest)):
@@ -134,12 +149,14 @@ def agreement(reader: Reader, m: dict, names: list[str], bynames: set[str]) -> i
     return best
 
 
-def variant_agreement(reader: Reader, m: dict, bynames: list[str], spelled: list[str], letters: list[str]) -> int:
+def variant_agreement(reader: Reader, m: dict, names: list[str], bynames: list[str], spelled: list[str], letters: list[str]) -> int:
     """The agreement with what a profile has besides its name: by-names and merged spellings in characters,
-    read like names, and merged spellings in letters. Initials and slips of by-names do not count: many
-    by-names lack the surname, and such links name people of other surnames."""
-    best = agreement(reader, m, bynames, set())
-    best = max(best if best >= _SWAPPED else 0, agreement(reader, m, spelled, set()))
+    read like names, and merged spellings in letters. Initials and slips count for by-names that carry the
+    person's surname; those of others would name people of other surnames."""
+    own = {reader.surname_of(h) for h in names}
+    full = [x for x in bynames if any(x.startswith(f) and len(x) - len(f) >= 2 for f in own)]
+    best = agreement(reader, m, [x for x in bynames if x not in full], set())
+    best = max(best if best >= _SWAPPED else 0, agreement(reader, m, [*spelled, *full], set()))
     if not best and any(one_slip(a, b) for a in m["letters"] for b in letters):
         return _TYPO
     return best
@@ -174,7 +191,57 @@ _MENTION = "mention_no bigint, text string, polity string, year double, keys arr
 _PROFILE = "person_no bigint, names array<string>, bynames array<string>, spelled array<string>, letters array<string>, polity string, year_start double, year_end double, keys array<string>"
 
 
-def link_mentions(mentions: DataFrame, persons: DataFrame) -> DataFrame:
+def _asked(key: str, polity: str) -> Column:
+    """The blocks that a mention asks: its polity's and those of persons of unknown polity; one of unknown
+    polity asks the block of all. Initials, which many share, are cut by century where the year is known."""
+    of = F.when(F.col(polity).isNull(), F.array(F.lit("*"))).otherwise(F.array(polity, F.lit("")))
+    century = F.when(F.col(key).startswith("i:"), F.coalesce(F.floor(F.col("year") / 100).cast("string"), F.lit("*"))).otherwise(F.lit(""))
+    return F.transform(of, lambda x: F.concat(x, F.lit("|"), century))
+
+
+def _entered(key: str, polity: str) -> Column:
+    """The blocks that a profile enters: its polity's (or that of unknown polity) and that of all; with
+    initials, those of the centuries in which a work may name it, and of unknown year."""
+    of = F.array(F.coalesce(polity, F.lit("")), F.lit("*"))
+    low, high = F.coalesce(F.col("year_start"), F.col("year_end") - 90), F.coalesce(F.col("year_end"), F.col("year_start") + 90)
+    margin = _WITHIN[_INITIALS]
+    lived = F.sequence(F.floor((F.least(low, high) - margin) / 100), F.floor((F.greatest(low, high) + margin) / 100))
+    known = F.concat(F.transform(lived, lambda c: c.cast("string")), F.array(F.lit("*")))
+    # Without any year a profile fits in every century: it enters those in which anything is dated.
+    every = F.concat(F.transform(F.sequence(F.lit(-50), F.lit(30)), lambda c: c.cast("string")), F.array(F.lit("*")))
+    centuries = F.when(F.col(key).startswith("i:"), F.when(low.isNull() | F.isnan(low) | F.isnan(high), every).otherwise(known)).otherwise(F.array(F.lit("")))
+    return F.flatten(F.transform(of, lambda x: F.transform(centuries, lambda c: F.concat(x, F.lit("|"), c))))
+
+
+def outside_register(mentions: DataFrame, links: DataFrame) -> DataFrame:
+    """mentions as in link_mentions, and the links found -> mention_no, meaning: mentions that name somebody
+    outside the register, with the smallest mention_no that spells out the name of the person they mean.
+
+    A name spelled out in characters is a profile of its own polity, dated by the years of its works; mentions
+    in other spellings join it by the same merging and rematching. Mentions that fit several names stay alone.
+    """
+    spark = mentions.sparkSession
+    tables = spark.sparkContext.broadcast(han_tables(spark))
+    rest = cut(mentions.join(links.select("mention_no"), "mention_no", "left_anti").select("mention_no", "text", "polity", "year").dropDuplicates(["mention_no"]))
+
+    def spelled_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(tables.value)
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                m = read_mention(reader, r.text)
+                if m and m["han"] and not m["parts"] and stem(m["han"]) == m["han"]:
+                    out.append((r.mention_no, m["han"], r.polity, r.year))
+            yield pd.DataFrame(out, columns=["mention_no", "name", "polity", "year"]).astype({"mention_no": "int64"})
+
+    year = F.col("year").cast("double").alias("year")
+    named = rest.where("mention_no is not null and text is not null").select("mention_no", "text", "polity", year).mapInPandas(spelled_out, "mention_no bigint, name string, polity string, year double")
+    seeds = named.groupBy("name", "polity").agg(F.min("mention_no").alias("person_no"), (F.min("year") - 30).alias("year_start"), (F.max("year") + 30).alias("year_end"))
+    joined = link_mentions(rest, seeds.withColumn("other_names", F.lit(None).cast("string")))
+    return joined.select("mention_no", F.col("person_no").alias("meaning"))
+
+
+def link_mentions(mentions: DataFrame, persons: DataFrame, rematch: bool = True) -> DataFrame:
     """mentions: mention_no, text, polity, year. persons: person_no, name, other_names (packed), polity,
     year_start, year_end. Returns mention_no, person_no, agreement (1-6), round.
 
@@ -182,7 +249,8 @@ def link_mentions(mentions: DataFrame, persons: DataFrame) -> DataFrame:
     nobody; a mention that fits several persons equally well means none; unknown polities and years neither
     help nor hinder; very long names are keyed by their ends only when over four characters; extra columns
     are ignored; empty tables give no rows. Keys carry the polity, so that a name of a third of all rows is
-    split by polity; a mention of unknown polity asks all polities that occur (a closed list).
+    split by polity; a mention of unknown polity asks a block that every person enters. Without ``rematch``
+    only the first round is made, for comparison.
     """
     spark = mentions.sparkSession
     tables = spark.sparkContext.broadcast(han_tables(spark))
@@ -219,7 +287,7 @@ def link_mentions(mentions: DataFrame, persons: DataFrame) -> DataFrame:
                 level = agreement(reader, m, list(r.names), set(r.bynames)) if m else 0
                 direct = int(level > 0)
                 if m and r.wide and not level:
-                    level = variant_agreement(reader, m, list(r.bynames), list(r.spelled), list(r.letters))
+                    level = variant_agreement(reader, m, list(r.names), list(r.bynames), list(r.spelled), list(r.letters))
                 same = None if r.polity is None or r.of_person is None else r.polity == r.of_person
                 gap = time_gap(r.year, r.year_start, r.year_end)
                 if fits(level, same, gap):
@@ -250,21 +318,19 @@ def link_mentions(mentions: DataFrame, persons: DataFrame) -> DataFrame:
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(tables.value)
         for batch in batches:
-            out = [(r.person_no, key, r.of) for r in batch.itertuples(index=False) for key in variant_keys(reader, list(r.han), list(r.letters))]
-            yield pd.DataFrame(out, columns=["person_no", "key", "of"]).astype({"person_no": "int64"})
+            out = [(r.person_no, key) for r in batch.itertuples(index=False) for key in variant_keys(reader, list(r.han), list(r.letters))]
+            yield pd.DataFrame(out, columns=["person_no", "key"]).astype({"person_no": "int64"})
 
     one_person = persons.where("person_no is not null and name is not null").select("person_no", "name", "other_names", "polity", F.col("year_start").cast("double").alias("year_start"), F.col("year_end").cast("double").alias("year_end"))
     profiles = cut(one_person.dropDuplicates(["person_no"]).mapInPandas(read_persons, _PROFILE))
     one_mention = mentions.where("mention_no is not null and text is not null").select("mention_no", "text", "polity", F.col("year").cast("double").alias("year"))
     waiting = cut(one_mention.dropDuplicates(["mention_no"]).mapInPandas(read_mentions, _MENTION))
 
-    polities = sorted(set(Reader(tables.value).polities.values()))
-    asked = F.when(F.col("polity").isNull(), F.array(*map(F.lit, [*polities, ""]))).otherwise(F.array("polity", F.lit("")))
-    asking = waiting.select("mention_no", F.explode("keys").alias("key"), asked.alias("asked")).select("mention_no", "key", F.explode("asked").alias("of"))
-    entering = profiles.select("person_no", F.explode("keys").alias("key"), F.coalesce("polity", F.lit("")).alias("of"))
+    asking = waiting.select("mention_no", "polity", "year", F.explode("keys").alias("key")).select("mention_no", "key", F.explode(_asked("key", "polity")).alias("of"))
+    entering = profiles.select("person_no", "polity", "year_start", "year_end", F.explode("keys").alias("key")).select("person_no", "key", F.explode(_entered("key", "polity")).alias("of"))
 
     none = F.array().cast("array<string>")
-    of = F.coalesce("polity", F.lit("")).alias("of")
+    life = ["person_no", "polity", "year_start", "year_end"]
     # By-names and merged spellings are first compared exactly only; once that merges nothing more, they are
     # compared like names with the mentions that fit nobody so far, so that they never outdo a name.
     links, fitted, wide, turn = None, None, False, 1
@@ -283,6 +349,8 @@ def link_mentions(mentions: DataFrame, persons: DataFrame) -> DataFrame:
         ranked = cut(judged.withColumn("score", F.struct("direct", "agreement", "context")).withColumn("top", F.max("score").over(best)).where("score = top").withColumn("rivals", F.count("*").over(best)))
         merged = ranked.where("rivals = 1").select("mention_no", "person_no", "agreement", F.lit(turn).alias("round"))
         links = merged if links is None else links.unionByName(merged)
+        if not rematch:
+            return links
         fit = ranked.select("mention_no").distinct()
         fitted = fit if fitted is None else fitted.unionByName(fit)
         new = cut(
@@ -298,9 +366,10 @@ def link_mentions(mentions: DataFrame, persons: DataFrame) -> DataFrame:
         profiles = cut(profiles.join(more, "person_no", "left").withColumns({c: F.array_union(c, F.coalesce(x, none)) for c, x in (("bynames", "b"), ("spelled", "s"), ("letters", "l"))}).drop("b", "s", "l"))
         # Only what profiles gained enters blocking again; what they had has met every mention already.
         if some and not wide:
-            entering = new.where("kind = 'byname'").join(profiles.select("person_no", "polity"), "person_no").select("person_no", F.concat(F.lit("h:"), "value").alias("key"), of)
+            gains = new.where("kind = 'byname'").select("person_no", F.concat(F.lit("h:"), "value").alias("key"))
         else:
-            gains = more.select("person_no", F.concat(F.coalesce("b", none), F.coalesce("s", none)).alias("han"), F.coalesce("l", none).alias("letters")) if wide else profiles.select("person_no", F.concat("bynames", "spelled").alias("han"), "letters")
-            entering = gains.join(profiles.select("person_no", of), "person_no").mapInPandas(enter, "person_no bigint, key string, of string")
+            gained_now = more.select("person_no", F.concat(F.coalesce("b", none), F.coalesce("s", none)).alias("han"), F.coalesce("l", none).alias("letters")) if wide else profiles.select("person_no", F.concat("bynames", "spelled").alias("han"), "letters")
+            gains = gained_now.mapInPandas(enter, "person_no bigint, key string")
             wide = True
+        entering = gains.join(profiles.select(*life), "person_no").select("person_no", "key", F.explode(_entered("key", "polity")).alias("of"))
         turn += 1

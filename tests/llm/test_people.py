@@ -87,10 +87,10 @@ MENTIONS = "mention_no bigint, text string, polity string, year int, person_no s
 PERSONS = "person_no bigint, name string, other_names string, polity string, year_start int, year_end int, text string"
 
 
-def links(spark, mentions, persons):
+def links(spark, mentions, persons, **how):
     m = spark.createDataFrame([(*r, "x") for r in mentions], MENTIONS)
     p = spark.createDataFrame([(*r, "x") for r in persons], PERSONS)
-    return {r.mention_no: r.person_no for r in variants.link_mentions(m, p).collect()}
+    return {r.mention_no: r.person_no for r in variants.link_mentions(m, p, **how).collect()}
 
 
 def test_mentions_that_fit_merged_spellings_only(spark):
@@ -99,6 +99,60 @@ def test_mentions_that_fit_merged_spellings_only(spark):
     assert links(spark, mentions, persons) == {1: 1, 2: 2, 3: 2}
 
 
+def test_links_come_from_merging_and_rematching(spark):
+    persons = [(1, "曹建琦", "景輔", "元", 1341, 1408), (2, "錢炳吉", "", "漢", -131, -93), (3, "李潛德", None, "明", 1500, 1560)]
+    mentions = [(1, "弟偽居士曹建琦", "元", 1380), (2, "弟偽居士", "元", 1380), (3, "Qian Bigji", "漢", -110), (4, "Qian Bigjy", "漢", -110), (5, "Cao, J. F.", "元", 1380), (6, "李潛德字伯能", "明", 1530), (7, "Li, B. N.", "明", 1530)]
+    assert links(spark, mentions, persons) == {1: 1, 2: 1, 3: 2, 4: 2, 5: 1, 6: 3, 7: 3}
+    assert links(spark, mentions, persons, rematch=False) == {1: 1, 3: 2, 6: 3}
+
+
+def test_mentions_of_unknown_polity_meet_every_person(spark):
+    persons = [(1, "何海維", None, "遼", 1000, 1050), (2, "蔡逵鶴", None, None, 1000, 1050), (3, "范朗義", None, "唐", None, None)]
+    mentions = [(1, "何海維", None, 1030), (2, "Cai, K. H.", None, 1030), (3, "Fan, L. Y.", "唐", 850), (4, "蔡逵鶴", "宋", 1020), (5, "He, H. W.", None, 1030), (6, "Fan, L. Y.", "唐", None), (7, "蔡 逵鶴居士", None, None)]
+    assert links(spark, mentions, persons) == {1: 1, 2: 2, 3: 3, 4: 2, 5: 1, 6: 3, 7: 2}
+
+
+def test_studio_names_with_another_ending(spark):
+    assert variants.stem("庫死居士") == "庫死" and variants.stem("居士") == "居士"
+    assert links(spark, [(1, "庫死居士", "唐", 655), (2, "庫死", "唐", 655), (3, "庫活居士", "唐", 655)], [(1, "程善卿", "孟安; 庫死軒", "唐", 640, 700)]) == {1: 1}
+
+
+def test_people_outside_the_register(spark):
+    mentions = [(5, "郭魯靖", "元", 1320), (3, "Guo Lujing", "元", 1330), (7, "Guo, L. J.", "元", None), (9, "郭魯靖", "元", 1340), (11, "郭魯靖", "清", 1800), (4, "曹建琦", "元", 1380), (8, "佚名", "元", 1320), (6, None, "元", 1320), (12, "Wu Xinlin", "元", 1320)]
+    m = spark.createDataFrame([(*r, "x") for r in mentions], MENTIONS)
+    found = spark.createDataFrame([(4, 1)], "mention_no bigint, person_no bigint")
+    assert {r.mention_no: r.meaning for r in variants.outside_register(m, found).collect()} == {5: 5, 3: 5, 7: 5, 9: 5, 11: 11}
+    assert variants.outside_register(m.limit(0), found).count() == 0
+
+
+def test_link_blocking_recall_against_all_pairs(spark, reader):
+    import random
+
+    rng = random.Random(6)
+    signs, given = "曹錢盧李何蔡范袁", "建琦炳吉知榮潛德海維逵鶴朗義福杰"
+    persons = [(i, rng.choice(signs) + "".join(rng.sample(given, 2)), None, rng.choice(["元", "明", None]), y := rng.randrange(1280, 1600), y + 50) for i in range(60)]
+    texts = []
+    for _, name, *_ in persons:
+        letters = reader.read(name)
+        texts += [name[0] + name[2] + name[1], f"{letters[0].title()} {''.join(letters[1:]).title()}", f"{letters[0].title()}, {letters[1][0].upper()}. {letters[2][0].upper()}.", name + "撰"]
+    mentions = [(i, t, rng.choice(["元", "明", None]), rng.choice([None, rng.randrange(1280, 1640)])) for i, t in enumerate(texts)]
+    wanted = {}
+    for no, text, polity, year in mentions:
+        m = variants.read_mention(reader, text)
+        scores = {}
+        for person, name, _, of, start, end in persons:
+            level = variants.agreement(reader, m, [reader.clean(name)], set())
+            same = None if polity is None or of is None else polity == of
+            gap = variants.time_gap(year, start, end)
+            if variants.fits(level, same, gap):
+                scores[person] = (level, 2 * (same is True) + (gap == 0))
+        best = [p for p, x in scores.items() if x == max(scores.values())]
+        if len(best) == 1:
+            wanted[no] = best[0]
+    got = links(spark, mentions, persons, rematch=False)
+    assert len(wanted) > 60 and got == wanted
+
+
 def test_link_mentions(spark):
     persons = [(1, "曹建琦", "弟偽居士 | 景輔", "元", 1341, 1408), (2, "錢炳吉", "", "漢", -131, -93), (3, "盧知榮", None, "唐", 716, 742), (4, "盧知榮", None, "清", 1816, 1842), (5, None, None, "清", 1, 2), (6, "李潛德", None, "明", 1500, 1560), (7, "李清丹", None, "明", 1500, 1560), (1, "曹建琦", "弟偽居士 | 景輔", "元", 1341, 1408)]
     mentions = [
