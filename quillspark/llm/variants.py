@@ -149,14 +149,12 @@ def agreement(reader: Reader, m: dict, names: list[str], bynames: set[str]) -> i
     return best
 
 
-def variant_agreement(reader: Reader, m: dict, names: list[str], bynames: list[str], spelled: list[str], letters: list[str]) -> int:
+def variant_agreement(reader: Reader, m: dict, bynames: list[str], spelled: list[str], letters: list[str]) -> int:
     """The agreement with what a profile has besides its name: by-names and merged spellings in characters,
-    read like names, and merged spellings in letters. Initials and slips count for by-names that carry the
-    person's surname; those of others would name people of other surnames."""
-    own = {reader.surname_of(h) for h in names}
-    full = [x for x in bynames if any(x.startswith(f) and len(x) - len(f) >= 2 for f in own)]
-    best = agreement(reader, m, [x for x in bynames if x not in full], set())
-    best = max(best if best >= _SWAPPED else 0, agreement(reader, m, [*spelled, *full], set()))
+    read like names with their initials, and merged spellings in letters. Initials and slips of by-names do
+    not count: by-names are built from a few dozen characters, so that any initials meet some by chance."""
+    best = agreement(reader, m, bynames, set())
+    best = max(best if best >= _SWAPPED else 0, agreement(reader, m, spelled, set()))
     if not best and any(one_slip(a, b) for a in m["letters"] for b in letters):
         return _TYPO
     return best
@@ -287,7 +285,7 @@ def link_mentions(mentions: DataFrame, persons: DataFrame, rematch: bool = True)
                 level = agreement(reader, m, list(r.names), set(r.bynames)) if m else 0
                 direct = int(level > 0)
                 if m and r.wide and not level:
-                    level = variant_agreement(reader, m, list(r.names), list(r.bynames), list(r.spelled), list(r.letters))
+                    level = variant_agreement(reader, m, list(r.bynames), list(r.spelled), list(r.letters))
                 same = None if r.polity is None or r.of_person is None else r.polity == r.of_person
                 gap = time_gap(r.year, r.year_start, r.year_end)
                 if fits(level, same, gap):

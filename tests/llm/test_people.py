@@ -101,7 +101,7 @@ def test_mentions_that_fit_merged_spellings_only(spark):
 
 def test_links_come_from_merging_and_rematching(spark):
     persons = [(1, "曹建琦", "景輔", "元", 1341, 1408), (2, "錢炳吉", "", "漢", -131, -93), (3, "李潛德", None, "明", 1500, 1560)]
-    mentions = [(1, "弟偽居士曹建琦", "元", 1380), (2, "弟偽居士", "元", 1380), (3, "Qian Bigji", "漢", -110), (4, "Qian Bigjy", "漢", -110), (5, "Cao, J. F.", "元", 1380), (6, "李潛德字伯能", "明", 1530), (7, "Li, B. N.", "明", 1530)]
+    mentions = [(1, "弟偽居士曹建琦", "元", 1380), (2, "弟偽居士", "元", 1380), (3, "Qian Bigji", "漢", -110), (4, "Qian Bigjy", "漢", -110), (5, "Cao Jingfu", "元", 1380), (6, "李潛德字伯能", "明", 1530), (7, "Li Boneng", "明", 1530), (8, "Li, B. N.", "明", 1530)]
     assert links(spark, mentions, persons) == {1: 1, 2: 1, 3: 2, 4: 2, 5: 1, 6: 3, 7: 3}
     assert links(spark, mentions, persons, rematch=False) == {1: 1, 3: 2, 6: 3}
 
