@@ -138,6 +138,21 @@ def test_many_keywords_in_turn_are_spam(spark):
     assert [(r.doc_id, r.reason) for r in found] == [(1, "keywords")]
 
 
+def test_thresholds_move_with_the_language(spark):
+    rng = random.Random(12)
+    page = lambda letters, particle, share: "，".join("".join(rng.choice(letters) if rng.random() > share else particle for _ in range(9)) for _ in range(30))
+    signs, syllables = [chr(0x5100 + i) for i in range(300)], [chr(0xAC00 + 7 * i) for i in range(300)]
+    refrain = lambda letters, n: "，".join(["".join(letters[:9])] * n + ["".join(rng.choice(letters[9:]) for _ in range(9)) for _ in range(30 - n)])
+    rows = [(i, page(signs, "之", 0.3)) for i in range(60)] + [(100 + i, page(syllables, "은", 0.3)) for i in range(60)]
+    # Ordinary pages of the one language repeat a phrase, those of the other never do.
+    rows += [(200 + i, "，".join([page(signs, "之", 0.3), *["天地玄黃之其者也曰"] * 14])) for i in range(60)]
+    rows += [(900, refrain(signs, 13)), (901, refrain(syllables, 13))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bound = {r.language: r.least_phrase for r in spam.calibrate(spam.measures(df)).collect()}
+    assert bound["classical"] > bound["hangul"] + 0.1
+    assert {r.doc_id for r in spam.find_spam(df).collect()} == {901}
+
+
 T0 = dt.datetime(2024, 1, 1)
 FIELDS = ["author", "year"]
 SCHEMA = "group_id string, member_id string, author string, year int, role string, seen timestamp, survivor_id string"
