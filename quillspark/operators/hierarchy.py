@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from quillspark.session import cut
 
-#: Links that one task may hold in the last level of the merge; above it, levels go on in several tasks.
-MERGE_BOUND = 500_000
+#: Links that one task holds, at every level of the merge.
+LINKS_PER_TASK = 250_000
 SEPARATOR = " > "
 
 _FOREST = "node string, root string, dist bigint, outside string, gap bigint, cyclic int"
@@ -87,7 +87,8 @@ def _resolve(links: DataFrame, tasks: int, level: int = 0) -> DataFrame:
         closed = contracted.where("inner is null").select("top", F.col("outside").alias("final"), F.col("gap").alias("more"), F.lit(0).alias("circle"))
         open_links = onward.count()
         if open_links:
-            higher = _resolve(onward, 1 if open_links <= MERGE_BOUND else max(2, tasks // 4), level + 1)
+            # At most three quarters as many tasks as before: levels end even if few links close.
+            higher = _resolve(onward, max(1, min(-(-open_links // LINKS_PER_TASK), tasks * 3 // 4)), level + 1)
             # A top ends at a closed top, which knows the true root, or else on a circle of some level.
             ends = higher.join(closed.select(F.col("top").alias("root"), "final", F.col("more").alias("rest")), "root", "left").select(
                 F.col("node").alias("top"),
@@ -105,15 +106,14 @@ def _resolve(links: DataFrame, tasks: int, level: int = 0) -> DataFrame:
 
 
 def resolve_hierarchy(nodes: DataFrame, tasks: int | None = None) -> DataFrame:
-    """nodes (tree, node, parent) -> tree, node, root, depth, path, on_cycle; parent null for a root.
+    """nodes (tree, node, parent) -> tree, node, root, depth, path, on_cycle; parent null for a root. The
+    number of tasks of the first level follows from the number of links unless given.
 
     Defined cases: a node repeated letter for letter is one node (of different parents of one node, the
     smallest counts); a parent that is no node of the tree counts as none; a node that is its own parent is a cycle of one;
     on_cycle is 1 on a cycle, 2 for what leads into one, and both have empty root and path and depth -1;
     an empty table gives no rows. Node names must not be null (such rows are left out).
     """
-    spark = nodes.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Trees are told apart inside the node names: one key column serves all joins.
     named = (
         nodes.where("node is not null and tree is not null")
@@ -127,7 +127,7 @@ def resolve_hierarchy(nodes: DataFrame, tasks: int | None = None) -> DataFrame:
     inner = cut(all_nodes.join(inner_ids, "id", "left_semi"))
 
     links = inner.where("parent is not null").select(F.col("id").alias("node"), "parent", F.lit(1).cast("bigint").alias("weight"))
-    resolved = _resolve(links, tasks).withColumnRenamed("node", "id")
+    resolved = _resolve(links, tasks or max(1, -(-links.count() // LINKS_PER_TASK))).withColumnRenamed("node", "id")
     placed = cut(
         inner.join(resolved, "id", "left").select(
             "id",
