@@ -83,31 +83,46 @@ def with_visual_form(df: DataFrame, column: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "preserve_insertion_order": True})
+        # No spilling: a worker's own folder is no place for it, and a batch that needs more should fail loudly.
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
         for batch in batches:
             if not batch.num_rows:
                 continue
             con.register("batch", pa.table({"t": batch.column(len(names)), "n": pa.array(range(batch.num_rows), pa.int64())}))
-            found = con.execute(f"select form from ({sql}) order by n").fetchall()
+            form = con.execute(f"select form from ({sql}) order by n").to_arrow_table().column(0).combine_chunks().cast(pa.string())
             con.unregister("batch")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f for (f,) in found], pa.string())], names=[*names, "visual_form"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], form], names=[*names, "visual_form"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.select(*df.columns, F.col(column).cast("string").alias("_text")).mapInArrow(run, f"{fields}, visual_form string")
 
 
+def _spellings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the rows with their form, each distinct spelling of a form with the number of its rows)."""
+    formed = with_visual_form(rows.select("table_name", "row_no", "text").where("text is not null").distinct(), "text").where("visual_form <> ''")
+    return formed, formed.groupBy("table_name", "visual_form", "text").agg(F.count("*").alias("n"))
+
+
+def lookalike_classes(rows: DataFrame) -> DataFrame:
+    """rows (table_name, row_no, text) -> table_name, visual_form, spellings, rows: the forms that occur in
+    more than one spelling, one row each, whatever the number of their rows."""
+    _, spellings = _spellings(rows)
+    counted = spellings.groupBy("table_name", "visual_form").agg(F.count("*").alias("spellings"), F.sum("n").alias("rows"))
+    return counted.where("spellings > 1")
+
+
 def lookalike_pairs(rows: DataFrame) -> DataFrame:
     """rows (table_name, row_no, text) -> table_name, row_no_a, row_no_b: rows of one table whose texts
     look the same but differ in code points, the smaller number first.
 
-    Pairs are made between spellings, never within one: the rows of a form are joined through its list of
-    distinct spelling pairs, so a title repeated letter for letter a million times costs nothing unless it
-    also occurs in another spelling. Null texts and texts without visible character make no pair.
+    Pairs are made between spellings, never within one: the rows of a spelling are joined through the pairs of
+    spellings of its form, so a title repeated letter for letter a million times costs nothing unless it also
+    occurs in another spelling. No list of a form's spellings is gathered; a form of many spellings is joined
+    like any heavy key. Null texts and texts without visible character make no pair.
     """
-    formed = with_visual_form(rows.select("table_name", "row_no", "text").where("text is not null").distinct(), "text").where("visual_form <> ''")
-    spellings = formed.groupBy("table_name", "visual_form", "text").agg(F.count("*").alias("n"))
-    several = spellings.groupBy("table_name", "visual_form").agg(F.array_sort(F.collect_list("text")).alias("texts")).where(F.size("texts") > 1)
-    pairs = several.select("table_name", F.explode("texts").alias("a"), "texts").select("table_name", "a", F.explode(F.filter("texts", lambda b: b > F.col("a"))).alias("b"))
+    formed, spellings = _spellings(rows)
+    one, two = (spellings.select("table_name", "visual_form", F.col("text").alias(c)) for c in ("a", "b"))
+    pairs = one.join(two, ["table_name", "visual_form"]).where("a < b").select("table_name", "a", "b")
     a = formed.select("table_name", F.col("text").alias("a"), F.col("row_no").alias("x"))
     b = formed.select("table_name", F.col("text").alias("b"), F.col("row_no").alias("y"))
     return (

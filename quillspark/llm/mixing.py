@@ -4,8 +4,9 @@ Documents of a source are dealt into blocks by hash; a source's quota is so many
 some blocks once more, and a cut in one last block. A splitting tree hands the blocks to output shards: at
 every inner node the blocks of the left half are drawn from the node's by the multivariate hypergeometric
 distribution, so that each source's blocks are spread as by one global shuffle, yet exactly used up. Each
-shard takes disjoint runs of the sources' permuted block lists and is shuffled by itself. Only block totals
-come to the driver; their number is bounded by MAX_BLOCKS whatever the corpus.
+shard takes disjoint runs of the sources' permuted block lists and is shuffled by itself. Every source has
+several blocks for each shard, whatever its size, so that a small one is spread as well as a large one. Only
+block totals come to the driver; the blocks of a source are bounded whatever the corpus.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from quillspark.session import cut
 
-MAX_BLOCKS = 20_000
-LEAST_BLOCK_TOKENS = 20_000
+#: Blocks of each source for each shard, and of a source at most.
+BLOCKS_PER_SHARD, MAX_BLOCKS = 8, 20_000
+#: Shards of a mix: so many tokens each, within these bounds.
+SHARD_TOKENS, LEAST_SHARDS, MAX_SHARDS = 1 << 27, 16, 4096
 
 
 def largest_exact_total(available: dict[str, int], shares: dict[str, float], repeats: dict[str, int]) -> float:
@@ -76,7 +79,7 @@ def plan_blocks(blocks: list[tuple[str, int, int]], quotas: dict[str, int], shar
     return plan
 
 
-def mix(sized: DataFrame, targets: DataFrame, seed: int = 42, shards: int = 16, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(sized: DataFrame, targets: DataFrame, seed: int = 42, shards: int | None = None, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
     """sized: doc_id, source, tokens. targets: source, target_share, max_repeats.
 
     Returns the mix (shard, position, doc_id, copy, source, tokens) and the report (source, target_share,
@@ -87,8 +90,8 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 42, shards: int = 16,
     Defined cases: documents of null source or of a source without target take no part; documents without
     tokens are never drawn; a target named twice adds its shares and has the larger cap; null shares and
     caps count as 0; a source ends within one document of its quota; empty tables give an empty mix.
-    A source or block of any size: a block holds about 1 / MAX_BLOCKS of the corpus, so only the one cut
-    block of each source is ordered, and shards are ordered one by one.
+    A source of any size has BLOCKS_PER_SHARD blocks a shard (MAX_BLOCKS at most, none without documents), so only the one
+    cut block of each source is ordered; shards hold about SHARD_TOKENS unless their number is given.
     """
     spark = sized.sparkSession
     goals = {r["source"]: (r["share"] or 0.0, r["cap"] or 0) for r in targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).collect()}
@@ -101,8 +104,9 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 42, shards: int = 16,
     total = total_tokens if total_tokens is not None else largest_exact_total(available, shares, repeats)
     quotas = {s: min(int(round(total * shares[s] / have)), repeats[s] * available[s]) for s in available if have and repeats[s] > 0}
 
-    size = max(LEAST_BLOCK_TOKENS, -(-sum(available.values()) // MAX_BLOCKS)) if available else 1
-    numbers = spark.createDataFrame([(s, max(1, -(-t // size))) for s, t in available.items()], "source string, blocks bigint")
+    if shards is None:
+        shards = int(min(max(LEAST_SHARDS, -(-sum(quotas.values()) // SHARD_TOKENS)), MAX_SHARDS))
+    numbers = spark.createDataFrame([(s, min(BLOCKS_PER_SHARD * shards, MAX_BLOCKS)) for s in available], "source string, blocks bigint")
     order = F.xxhash64(F.lit(seed), "doc_id")
     dealt = usable.join(F.broadcast(numbers), "source").select("doc_id", "source", "tokens", order.alias("mixed"), F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("blocks")).alias("block"))
     totals = [(r["source"], r["block"], r["tokens"]) for r in dealt.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")).collect()]

@@ -48,6 +48,12 @@ def _titles(spark: SparkSession, root: str) -> DataFrame:
     return one.unionByName(two).unionByName(three)
 
 
+@query
+def p7_classes(spark: SparkSession, root: str) -> DataFrame:
+    """The forms written in several ways, with the number of their spellings and rows."""
+    return lookalike.lookalike_classes(_titles(spark, root))
+
+
 @query
 def p7_forms(spark: SparkSession, root: str) -> DataFrame:
     """Each row's text in its one visual form."""

@@ -71,6 +71,12 @@ def test_lookalike_pairs(spark):
     assert got == [("a", 1, 2), ("a", 1, 5), ("a", 1, 7), ("a", 2, 5), ("a", 5, 7)]
 
 
+def test_lookalike_classes(spark):
+    rows = [("a", 1, "二"), ("a", 2, "二​"), ("a", 2, "二​"), ("a", 3, "二"), ("a", 4, "三"), ("b", 5, "二"), ("a", 6, None), ("a", 7, "​")]
+    df = spark.createDataFrame(rows, "table_name string, row_no bigint, text string")
+    assert [tuple(r) for r in lookalike.lookalike_classes(df).collect()] == [("a", "二", 2, 3)]
+
+
 def test_split_tree_is_exact():
     counts = np.array([5, 0, 31, 1000])
     rows = mixing.split_tree(counts, 7, np.random.default_rng(3))
@@ -100,6 +106,14 @@ def test_mix_reaches_shares_within_caps(spark):
     assert mixing.mix(sized.limit(0), targets)[0].count() == 0
 
 
+def test_small_sources_reach_every_shard(spark):
+    rows = [(i, "large" if i % 50 else "small", 100) for i in range(20_000)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("large", 0.98, 1), ("small", 0.02, 1)], "source string, target_share double, max_repeats int")
+    got = mixing.mix(sized, targets, shards=16)[0].groupBy("shard").pivot("source", ["large", "small"]).count().collect()
+    assert len(got) == 16 and all(10 <= r.small <= 45 for r in got) and sum(r.small for r in got) in range(398, 401)
+
+
 SPAM = [
     "墨商、墨商、紙店、墨商、紙店、紙店、墨商、紙店、墨商、墨商",
     "夫人不可以忘其友。\n" + "\n".join(f"硯石{i} http://shop{i}.example/{i}.html" for i in range(6)),
