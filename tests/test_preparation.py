@@ -141,7 +141,7 @@ def test_hierarchy_like_brute_force(spark, monkeypatch):
     links |= {f"c{i}": f"c{i + 1}" for i in range(90)} | {"s": "s", "hot": None} | {f"h{i}": "hot" for i in range(100)} | {f"k{i}": f"k{(i + 1) % 37}" for i in range(37)}
     wanted = brute(links)
     assert resolved(spark, links, 3) == wanted
-    monkeypatch.setattr(hierarchy, "MERGE_BOUND", 20)
+    monkeypatch.setattr(hierarchy, "LINKS_PER_TASK", 20)
     assert resolved(spark, links, 6) == wanted
 
 
