@@ -129,3 +129,13 @@ def julian_day(year: Column, month: Column, day: Column, gregorian: bool = True)
     y, m = year + 4800 - shift, month + 12 * shift - 3
     base = day + F.floor((153 * m + 2) / 5) + 365 * y + F.floor(y / 4)
     return (base - F.floor(y / 100) + F.floor(y / 400) - 32045).cast("bigint") if gregorian else (base - 32083).cast("bigint")
+
+
+def escape_like(text: str, mark: str = "\\") -> str:
+    """A text as part of a LIKE pattern, its wildcards and the mark itself escaped."""
+    return "".join(mark + c if c in f"%_{mark}" else c for c in text)
+
+
+def contains_literally(column: Column, text: str) -> Column:
+    """Whether a column holds a text letter for letter, as a LIKE that sources can push down."""
+    return column.like(f"%{escape_like(text)}%")

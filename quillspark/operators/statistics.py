@@ -182,6 +182,23 @@ def document_dispersion(documents: DataFrame) -> DataFrame:
     return row.select("dp", norm.alias("dp_norm"), (1 - norm).alias("evenness"), rate(F.col("matching_documents"), F.col("documents_in_scope"), 1.0).alias("document_range"), "matching_documents", "documents_in_scope")
 
 
+def labelled_samples(samples: DataFrame, group: str, label: Column, text_column: str = "text") -> DataFrame:
+    """Per group: positive and negative samples (null labels are neither) and characters."""
+    return samples.groupBy(group).agg(F.count_if(label).alias("positive"), F.count_if(~label).alias("negative"), F.coalesce(F.sum(F.length(text_column)), F.lit(0)).alias("characters"))
+
+
+#: Dimensions by which two scopes may be compared.
+COMPARED = ("period", "nation", "region", "folder", "document_role")
+
+
+def check_comparison(dimension: str, a: str, b: str) -> None:
+    """ValueError unless two different groups of a dimension that can be compared are given."""
+    if dimension not in COMPARED:
+        raise ValueError(f"dimension must be one of {COMPARED}")
+    if not a.strip() or not b.strip() or a.strip() == b.strip():
+        raise ValueError("two different groups are needed")
+
+
 def duplicate_groups(documents: DataFrame) -> DataFrame:
     """Exact-body groups of two and more: members and hits, counted and not listed."""
     grouped = documents.where("coalesce(body_fingerprint, '') <> ''").groupBy("body_fingerprint").agg(F.count("*").alias("members"), F.sum("occurrences").alias("occurrences"), F.max("occurrences").alias("most"), F.min("document_id").alias("first_id"))

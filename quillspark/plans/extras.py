@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import scalars
-from quillspark.functions.text import julian_day, normalised
+from quillspark.functions.text import contains_literally, julian_day, normalised
 from quillspark.operators import index, search, statistics
 from quillspark.operators.catalogue import numbered
 from quillspark.operators.search import SearchSpec
@@ -32,6 +32,58 @@ def m17_maybe_holding(spark: SparkSession, root: str) -> DataFrame:
     return index.maybe_holding(index.signatures(table(spark, root, "documents"), "text"), "未嘗不")
 
 
+@query("select 0::bigint missed, count(*) filter (where contains(text, '未嘗')) holding from documents")
+def m17_missed(spark: SparkSession, root: str) -> DataFrame:
+    """How many documents that hold a term its characters' signatures would lose: none may be."""
+    documents = table(spark, root, "documents")
+    holding = documents.where(F.col("text").contains("未嘗")).select("doc_id")
+    maybe = index.maybe_holding(index.signatures(documents, "text"), "未嘗").withColumn("maybe", F.lit(1))
+    return holding.join(maybe, "doc_id", "left").agg(F.count_if(F.col("maybe").isNull()).alias("missed"), F.count("*").alias("holding"))
+
+
+@query("select doc_id, title, work_id, document_role, source from documents")
+def f10_compact(spark: SparkSession, root: str) -> DataFrame:
+    """The compact row of each document, as lists show it: no text column is read."""
+    return table(spark, root, "documents").select("doc_id", "title", "work_id", "document_role", "source")
+
+
+@query("select source, count(*) filter (where lang = 'lzh') positive, count(*) filter (where lang is not null and lang <> 'lzh') negative, coalesce(sum(length(text)), 0)::bigint characters from documents group by 1")
+def a54_labelled_samples(spark: SparkSession, root: str) -> DataFrame:
+    """Labelled samples per source: positive, negative, characters."""
+    return statistics.labelled_samples(table(spark, root, "documents"), "source", F.col("lang") == "lzh")
+
+
+@query("select document_id, shard, place from (select document_id, ((k - 1) // 500)::bigint shard, ((k - 1) % 500)::bigint place from (select document_id, row_number() over (order by document_id) k from (select distinct document_id from document_counts)))")
+def w11_shards(spark: SparkSession, root: str) -> DataFrame:
+    """Documents in order, cut into shards of 500."""
+    ordered = numbered(table(spark, root, "document_counts").select("document_id").distinct(), ["document_id"], "k")
+    return ordered.select("document_id", F.floor((F.col("k") - 1) / 500).alias("shard"), F.pmod(F.col("k") - 1, F.lit(500)).alias("place"))
+
+
+@query("select work_key, arg_min(form, (-length(form), form)) chosen from title_forms where form is not null and work_key is not null group by 1")
+def o12_longest_form(spark: SparkSession, root: str) -> DataFrame:
+    """Of each work's forms the longest, ties to the one that sorts first; combined map-side."""
+    forms = table(spark, root, "title_forms").where("form is not null and work_key is not null")
+    return forms.groupBy("work_key").agg(F.min_by("form", F.struct((-F.length("form")).alias("n"), "form")).alias("chosen"))
+
+
+@query(
+    "with m as (select distinct mention_no, work_key, name_key, role from work_people where name_key = '佚名' or name_key like '%建%'), w as (select distinct work_key, display_title from works) "
+    "select mention_no, name_key, role, display_title from m join w using (work_key)"
+)
+def j7_works_by_name(spark: SparkSession, root: str) -> DataFrame:
+    """Works of people by an exact key or a part of it."""
+    mentions = table(spark, root, "work_people").where((F.col("name_key") == "佚名") | F.col("name_key").contains("建")).select("mention_no", "work_key", "name_key", "role").distinct()
+    return mentions.join(table(spark, root, "works").select("work_key", "display_title").distinct(), "work_key").select("mention_no", "name_key", "role", "display_title")
+
+
+@query(r"select form_no, form from title_forms where form like '%\%%' escape '\' or form like '%\_%' escape '\' or form like '%傳%' group by all")
+def x25_escaped_like(spark: SparkSession, root: str) -> DataFrame:
+    """Forms that hold a text in which wildcards stand for themselves."""
+    forms = table(spark, root, "title_forms").select("form_no", "form").distinct()
+    return forms.where(contains_literally(F.col("form"), "%") | contains_literally(F.col("form"), "_") | contains_literally(F.col("form"), "傳"))
+
+
 @query(
     f"""with n as (select doc_id, {NORM} s from documents), a as (select doc_id, i - 1 as start_, i + 1 as end_, 'term' as label, 0 as layer from n, unnest(range(1, length(s))) u(i) where s[i:i + 1] = '是以'),
     b as (select doc_id, i - 1 as start_, i + 1 as end_, 'pair' as label, 1 as layer from n, unnest(range(1, length(s))) u(i) where s[i:i + 1] in ('是以', '公曰')), m as (select * from a union all select * from b)

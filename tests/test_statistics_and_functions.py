@@ -136,3 +136,16 @@ def test_streaming(spark, tmp_path):
     assert {(r.doc_id, r.occurrences) for r in spark.read.parquet(str(tmp_path / "a")).collect()} == {(i, 2) for i in range(9)}
     incremental.run_once(incremental.first_bodies(stream, "added_at", "30 days"), str(tmp_path / "b"), str(tmp_path / "cb"))
     assert spark.read.parquet(str(tmp_path / "b")).count() == 3
+
+
+def test_comparisons_and_escapes(spark):
+    from quillspark.functions.text import contains_literally, escape_like
+
+    statistics.check_comparison("period", "明", "清")
+    for wrong in (("author", "a", "b"), ("period", "a", " a"), ("period", "", "b")):
+        with pytest.raises(ValueError):
+            statistics.check_comparison(*wrong)
+    assert escape_like("50%_\\") == "50\\%\\_\\\\"
+    df = spark.createDataFrame([("50%",), ("505",), ("a_b",), ("a\\b",), (None,)], "t string")
+    held = lambda x: [r.t for r in df.where(contains_literally(df["t"], x)).collect()]
+    assert held("50%") == ["50%"] and held("a_") == ["a_b"] and held("\\") == ["a\\b"] and held("0") == ["50%", "505"]
