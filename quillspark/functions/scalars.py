@@ -167,3 +167,19 @@ def character_jaccard(a: Column, b: Column) -> Column:
 
 def error_complement(column: Column) -> Column:
     return _apply(math.erfc, T.DoubleType(), column)
+
+
+def reading_slot(column: Column, system: str) -> Column:
+    """The syllable of a reading without its tone."""
+    return _apply(lambda t: split_reading(system, t)[0], T.StringType(), column)
+
+
+def reading_tone(column: Column, system: str) -> Column:
+    """The tone of a reading; null where the system or the reading has none."""
+    return _apply(lambda t: split_reading(system, t)[1], T.IntegerType(), column)
+
+
+def resolved_date(column: Column) -> Column:
+    """year-month-day of a date expression with a unique historical year, unknown parts empty; null otherwise."""
+    show = lambda d: None if d is None else "-".join("" if x is None else str(x) for x in d)
+    return _apply(lambda t: show(resolve_date(t)), T.StringType(), column)

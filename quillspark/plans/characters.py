@@ -219,9 +219,9 @@ def x31_hygiene(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def x14_dates(spark: SparkSession, root: str) -> DataFrame:
-    """Numbers in the documents' date texts."""
+    """The documents' date texts: the number before 年, and the date where a calendar names the year."""
     dates = table(spark, root, "document_counts").where("date_text is not null").select("date_text").distinct()
-    return dates.select("date_text", scalars.parse_numeral(F.regexp_extract("date_text", "([0-9一二三四五六七八九十百千〇元]+)年", 1)).alias("year"))
+    return dates.select("date_text", scalars.parse_numeral(F.regexp_extract("date_text", "([0-9一二三四五六七八九十百千〇元]+)年", 1)).alias("year"), scalars.resolved_date(F.col("date_text")).alias("resolved"))
 
 
 @query("with y as (select distinct year_start from people where year_start is not null), e(era, low, high) as (values ('漢', -202, 220), ('唐', 618, 907), ('宋', 960, 1279), ('明', 1368, 1644), ('清', 1636, 1912)) select year_start, era, ((case when year_start < 0 then year_start + 1 else year_start end) - (case when low < 0 then low + 1 else low end) + 1)::int era_year from y join e on year_start between low and high")

@@ -100,7 +100,7 @@ def c12_self_dated(spark: SparkSession, root: str) -> DataFrame:
     """Texts dated by a year they give for themselves."""
     documents = bodies(spark, root)
     hits = search.find_hits(documents, SearchSpec(("[一二三四五六七八九十]+年[一二三四五六七八九十]+月",), mode="regex"))
-    return index.self_dated(hits, documents.select("doc_id", F.length("body").alias("n")), least=3)
+    return index.self_dated(hits, documents.select("doc_id", F.length("body").alias("n")))
 
 
 @query("select o_orderkey, julian(o_orderdate::date)::bigint as day_number from orders")
@@ -112,9 +112,10 @@ def x15_day_numbers(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def x16_readings(spark: SparkSession, root: str) -> DataFrame:
-    """Romanised names without tone marks, in their bare form."""
+    """Romanised names split into slot and tone, and their bare form."""
     names = table(spark, root, "people").where("romanized is not null").select("romanized").distinct()
-    return names.select("romanized", F.lower(scalars.normal_form(F.col("romanized"), "bare")).alias("bare"))
+    name = F.col("romanized")
+    return names.select("romanized", scalars.reading_slot(name, "mandarin").alias("slot"), scalars.reading_tone(name, "mandarin").alias("tone"), F.lower(scalars.normal_form(name, "bare")).alias("bare"))
 
 
 @query(

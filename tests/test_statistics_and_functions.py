@@ -149,3 +149,10 @@ def test_comparisons_and_escapes(spark):
     df = spark.createDataFrame([("50%",), ("505",), ("a_b",), ("a\\b",), (None,)], "t string")
     held = lambda x: [r.t for r in df.where(contains_literally(df["t"], x)).collect()]
     assert held("50%") == ["50%"] and held("a_") == ["a_b"] and held("\\") == ["a\\b"] and held("0") == ["50%", "505"]
+
+
+def test_reading_and_date_columns(spark):
+    df = spark.createDataFrame([("mǎ", "佛曆2569年三月五日"), ("ma4", "西元前1年"), ("ma", "某年"), (None, None)], "r string, d string")
+    got = [tuple(r) for r in df.select(scalars.reading_slot(df["r"], "mandarin"), scalars.reading_tone(df["r"], "mandarin"), scalars.resolved_date(df["d"])).collect()]
+    assert got[:3] == [("ma", 3, "2026-3-5"), ("ma", 4, "-1--"), ("ma", 5, None)]
+    assert got[3][0] is None and got[3][2] is None
