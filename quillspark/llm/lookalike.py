@@ -89,7 +89,7 @@ def with_visual_form(df: DataFrame, column: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             con.register("batch", pa.table({"t": batch.column(len(names)), "n": pa.array(range(batch.num_rows), pa.int64())}))
-            form = con.execute(f"select form from ({sql}) order by n").to_arrow_table().column(0).combine_chunks().cast(pa.string())
+            form = con.sql(f"select form from ({sql}) order by n").to_arrow_table().column(0).combine_chunks().cast(pa.string())
             con.unregister("batch")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], form], names=[*names, "visual_form"])
 
