@@ -69,6 +69,14 @@ def test_match_sources(spark):
     assert matching.match_sources(df.limit(0)).count() == 0
 
 
+def test_the_result_reads_few_intermediates(spark):
+    """Closing over the third source reads the best pairs three times; not cut, each reading plans and scores all candidates anew."""
+    rows = [person(1, "f", "何海維", 650, 720, "唐", "甲書卷1"), person(2, "c", "何海維", 651, 720, "唐", "甲書卷1")]
+    found = matching.match_sources(spark.createDataFrame(rows, PEOPLE))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 5
+    assert [(r.person_no_a, r.person_no_b) for r in found.collect()] == [(1, 2)]
+
+
 def test_match_with_polity_and_uneven_years_only(spark):
     rows = [person(1, "f", "何海維", 650, 720, "唐", "甲書卷1"), person(2, "c", "何海維", 671, 729, "唐", None), person(3, "f", "蔡逵鶴", 1714, 1745, "清", None), person(4, "c", "蔡逵鶴", 1700, 1750, "清", None)]
     found = matching.match_sources(spark.createDataFrame(rows, PEOPLE)).collect()
